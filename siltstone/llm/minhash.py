@@ -11,8 +11,9 @@ from ._base import column, cut, mix, raw, seeds, shingles, steps, table, words
 from ._graph import components
 
 _U = np.uint64
-#: Bands and coordinates of a band: a pair of similarity 0.75 shares none with probability 2e-5.
-BANDS, ROWS = 40, 5
+#: Bands and coordinates of a band: a pair of similarity 0.75 shares none with probability 1e-4, one of
+#: 0.8 with 3e-7.
+BANDS, ROWS = 64, 7
 
 
 def sketch(h: np.ndarray, counts: np.ndarray, bins: int) -> np.ndarray:
@@ -106,11 +107,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = BANDS, rows
 
     Rows whose sets are equal form one class; only class representatives (the smallest doc_id) are
     sketched against others. In a bucket of equal bands, members are compared with pivots, not with
-    each other: first one pivot, then, in buckets that still hold several components, 8, 64 and so on
+    each other: first one pivot, the member that meets most others over all its buckets, then, in buckets that still hold several components, 4, 16 and so on
     until a bucket is one component or all its members have been pivots. So every pair of a bucket
     that could join two components is verified, on full sets, while a bucket of thousands of copies of
     one text costs a row for each. Probability enters only through the bands: a link of similarity
-    0.75 exactly is in no common bucket with probability 2e-5.
+    0.75 exactly is in no common bucket with probability 1e-4, one of 0.8 with 3e-7.
 
     Null text: empty, linked with nothing. Rows that repeat a doc_id stand for one document with
     several texts; each row comes back. A null doc_id can't be named in a class: such a row comes back
@@ -120,29 +121,34 @@ def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = BANDS, rows
     base = cut(docs.mapInArrow(_digests(bands, rows), "doc_id long, n long, d1 long, d2 long, keys array<long>"))
     named = base.where("doc_id is not null and n > 0")
     classes = named.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.any_value("keys").alias("keys"))
-    bucket = classes.select("rep", F.explode("keys").alias("key"))
-    ends = bucket.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z")
-    active = cut(bucket.join(ends, "key").select("key", "rep", "a"))
+    bucket = classes.select("rep", "n", F.explode("keys").alias("key"))
+    ends = bucket.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    active = cut(bucket.join(ends, "key").select("key", "rep", "n", "members"))
+    # a text that its copies were made from meets more of them than they meet each other: it is a good pivot
+    met = active.groupBy("rep").agg(F.sum("members").alias("met"))
+    active = cut(active.join(met, "rep").select("key", "rep", "n", "met"))
+    central = active.groupBy("key").agg(F.max(F.struct("met", (-F.col("rep")).alias("r"), F.col("n").alias("pn"))).alias("p")).select("key", (-F.col("p.r")).alias("a"), "p.pn")
     ids = active.select(F.col("rep").alias("doc_id")).distinct()
     texts = cut(docs.join(ids, "doc_id", "left_semi")) if not active.isEmpty() else None
     links = cut(same_id_links(named))
     seen = base.sparkSession.createDataFrame([], "u long, v long")
     comp = None
     pivots, done = 1, 0
-    pairs = active.where("rep != a").select(F.col("a").alias("u"), F.col("rep").alias("v")).distinct()
+    alike = f"100 * least(n, pn) >= {percent} * greatest(n, pn)"  # no pair beyond is similar enough
+    pairs = active.join(central, "key").where("rep != a").where(alike).select(F.least("a", "rep").alias("u"), F.greatest("a", "rep").alias("v")).distinct()
     while texts is not None:
         both = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_a")), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_b")), "v")
         links = cut(links.union(both.select("u", "v", "text_a", "text_b").mapInArrow(_verified(percent), "u long, v long")).distinct())
         comp = components(links)
-        state = active.join(comp, F.col("rep") == F.col("v"), "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
+        state = active.join(comp, F.col("rep") == F.col("v"), "left").select("key", "rep", "n", "met", F.coalesce("comp", "rep").alias("comp"))
         mixed = state.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).where(f"lo < hi and members > {pivots}").select("key")
         state = cut(state.join(mixed, "key"))
         if state.isEmpty():
             break
-        active, seen = state.select("key", "rep"), cut(seen.union(pairs).distinct())
-        done, pivots = pivots, pivots * 8
-        first = state.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("rep"))).where(f"r <= {pivots} and r > {done}").select("key", F.col("rep").alias("p"), F.col("comp").alias("pc"))
-        pairs = state.join(first, "key").where("comp != pc").select(F.least("rep", "p").alias("u"), F.greatest("rep", "p").alias("v")).distinct()
+        active, seen = state.select("key", "rep", "n", "met"), cut(seen.union(pairs).distinct())
+        done, pivots = pivots, pivots * 4
+        first = state.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("met"), "rep"))).where(f"r <= {pivots} and r > {done}").select("key", F.col("rep").alias("p"), F.col("comp").alias("pc"), F.col("n").alias("pn"))
+        pairs = state.join(first, "key").where("comp != pc").where(alike).select(F.least("rep", "p").alias("u"), F.greatest("rep", "p").alias("v")).distinct()
         pairs = cut(pairs.join(seen, ["u", "v"], "left_anti"))
     comp = comp if comp is not None else components(links)
     reps = named.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
