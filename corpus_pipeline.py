@@ -6,12 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone import ship
 from siltstone.llm import language, lines, minhash, mixing, packing
 from siltstone.llm._base import cut, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; null texts and texts without letters go."""
+    ship(spark)
     names = docs.columns
     out = language.identify(docs.withColumn("_text", F.col("text")), language.fit(docs))
     return out.where("lang_pred != 'und'").withColumnRenamed("_text", "text").select(*names)
