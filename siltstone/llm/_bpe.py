@@ -21,7 +21,7 @@ _PLAIN = re.compile(r"[\x21-\x7eÀ-ÿ]*")
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[^a-zà-öø-ÿß0-9]+")
 _LONG = 48
 #: Bytes of text in one step.
-_STEP = 1 << 21
+_STEP = 1 << 20
 #: Kinds of bytes: 0 dropped, 1 letter, 2 digit, 3 sign, 4 not plain.
 _KIND = np.full(256, 4, np.uint8)
 _KIND[33:127] = 3
@@ -144,7 +144,7 @@ class Ids:
         at, n = self._found(h)
         new = np.flatnonzero(at < 0)
         if len(new):
-            if len(self.tables[0][0]) > 3 * REMEMBERED:
+            if len(self.tables[0][0]) > REMEMBERED:
                 self._forget()
                 at, n = self._found(h)
                 new = np.flatnonzero(at < 0)
@@ -174,7 +174,7 @@ class Ids:
     def _add(self, h: np.ndarray, at: np.ndarray, n: np.ndarray) -> None:
         old, recent = self.tables
         recent = _sorted(recent, (h, at, n))
-        if len(recent[0]) > 100_000:
+        if len(recent[0]) > 60_000:
             old, recent = _sorted(old, recent), tuple(x[:0] for x in recent)
         self.tables = [old, recent]
 

@@ -12,7 +12,7 @@ from ._base import column, mix, raw, seeds, table
 
 _U = np.uint64
 GRAM = 5
-_STEP = 1 << 20
+_STEP = 1 << 19
 #: Letters stay, lower-cased; other ASCII becomes a space; bytes of other characters stay.
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
@@ -116,6 +116,7 @@ def _predicted(filters):
 
     def run(batches):
         for batch in batches:
+            pa.default_memory_pool().release_unused()
             data, offsets = raw(batch.column("text"))
             texts = batch.column("text")
             names, scores = [], []

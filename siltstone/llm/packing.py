@@ -20,6 +20,7 @@ def _pieces(path: str, capacity: int, with_ids: bool):
     def run(batches):
         known = ids_of(path)
         for batch in batches:
+            pa.default_memory_pool().release_unused()
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
                 rows: list[tuple] = []
