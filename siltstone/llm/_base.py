@@ -183,7 +183,7 @@ def shingles(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     at = np.arange(total)
     for k in range(5):
         part = np.zeros(total, _U)
-        part[: total - k] = h[k:] if k else h
+        part[: max(0, total - k)] = h[k:]
         part *= _PLACES[k]
         part[at + k >= ends] = _U((1 + k) * 0xD6E8FEB86659FD93 % (1 << 64))
         out += part

@@ -223,31 +223,31 @@ def _disguised(kind: str, s: str, k: int) -> str:
     return [f"({d[:3]}) {d[3:6]}-{d[6:]}", f"{d[:3]}-{d[3:6]}-{d[6:]}", f"{d[:3]}.{d[3:6]}.{d[6:]}", f"001 {d[:3]} {d[3:6]} {d[6:]}"][k % 4]
 
 
-#: Spans from which disguises are made where the sample has few of a kind.
+#: Spans from which disguises are made besides those of the sample.
 _SEEDS = {"email": "kim.lee7@mail.example.org", "ip": "192.0.2.17", "card": "4111 1111 1111 1111", "phone": "+1 (202) 555-0143"}
 
 
-def learn(texts: list[str], rounds: int = 4, rate: float = 0.15, most: int = 240) -> Field:
+def learn(texts: list[str], rounds: int = 5, rate: float = 0.3, most: int = 240) -> Field:
     """A field from texts: spans of the fixed patterns and disguises of them are what to find, all else
     near digits and signs is not."""
     examples: list[tuple[str, dict[str, int], list]] = []
     plain = []
     for text in texts:
         spans = base_spans(text)
-        for k, (a, kind, b) in enumerate(spans):
+        for a, kind, b in spans:
             lo, hi = max(0, a - 60), min(len(text), b + 60)
             before, after = text[lo:a].split("\n")[-1].split(" ", 1)[-1], text[b:hi].split("\n")[0].rsplit(" ", 1)[0]
             examples.append((before, kind, text[a:b], after))
         plain += [(text, z) for z in zones(text, [(a, b) for a, _, b in spans])]
     count = {k: 0 for k in KINDS}
     made = []
-    for k, (before, kind, s, after) in enumerate(examples):
+    for before, kind, s, after in examples:
         if count[kind] < most // 6:
-            made.append((before, kind, _disguised(kind, s, k), after))
+            made.append((before, kind, _disguised(kind, s, count[kind]), after))
             count[kind] += 1
     frames = [(b, a) for b, _, _, a in examples[:10]] or [("reach me by ", " any time")]
     for kind in KINDS:
-        for k in range(max(0, 15 - count[kind])):
+        for k in range(15):
             before, after = frames[k % len(frames)]
             made.append((before, kind, _disguised(kind, _SEEDS[kind], k), after))
     decoys = ["version 4.0 of 2024-05-17 and", "page 12 of 340 at 10:45 on", "costs 1,299.00 or 55 % of 3000", "id 20240517103045 and key=9f8e7d6c5b4a", "build 10.2.14 rev 88123", "order 1234567890123 of 17", "pi is 3.14159 at most", "meet at the dot on", "look at this dot there"]
