@@ -61,6 +61,17 @@ def ranks(df: DataFrame, keys: list[str], size: str | None = None) -> DataFrame:
     return joined.withColumn("before", F.col("_start") + F.col("_inside")).drop("_of", "_start", "_inside", "_part", *names)
 
 
+def first_of_each(df: DataFrame, key: str, n: int, order: list) -> DataFrame:
+    """At most n rows of each key, the first in the given order.
+
+    First within 64 salts of a key, then among at most 64 * n rows, so no task sees a whole key.
+    """
+    df = df.withColumn("_salt", F.pmod(F.xxhash64(F.lit(7), *order), F.lit(64)))
+    for by in ([key, "_salt"], [key]):
+        df = df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(f"_r <= {n}").drop("_r")
+    return df.drop("_salt")
+
+
 def _running(df: DataFrame, keys: list[str], size: str | None) -> DataFrame:
     """Adds `_inside`, the running sum for each key in the rows of a partition, in their order."""
     schema = StructType([*df.schema.fields, StructField("_inside", LongType())])

@@ -5,10 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import column, mix, raw, seeds, table
+from ._base import column, first_of_each, mix, raw, seeds, table
 
 _U = np.uint64
 GRAM = 5
@@ -153,8 +153,7 @@ def fit(docs: DataFrame, sample: int = 400, slots: int = 1 << 20, hashes: int =
     kinds = {"doc_id": "long", "text": "string", "lang": "string"}
     docs = docs.select(*[column(docs, c, k).alias(c) for c, k in kinds.items()])
     rows = docs.where("text is not null and lang is not null and crc32(cast(doc_id as string)) % 4 != 2")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "lang").distinct().withColumn("r", F.row_number().over(order)).where(f"r <= {sample}").select("doc_id", "lang")
+    chosen = first_of_each(rows.select("doc_id", "lang").distinct(), "lang", sample, [F.xxhash64("doc_id"), F.col("doc_id")])
     got = rows.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text").toArrow()  # at most `sample` ids a language
     names = sorted(set(got.column("lang").to_pylist()))
     samples = []

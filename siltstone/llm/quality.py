@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import _SPACE, _words_of, column, raw, table
+from ._base import _SPACE, _words_of, column, first_of_each, raw, table
 
 _STEP = 1 << 20
 THRESHOLD = 0.3
@@ -157,8 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 1500) -> Field:
     known = labels.select(column(labels, "doc_id", "long").alias("doc_id"), column(labels, "quality", "int").alias("quality"))
     known = known.where("doc_id is not null and quality in (0, 1) and crc32(cast(doc_id as string)) % 5 != 0")
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    order = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"))
-    chosen = known.withColumn("r", F.row_number().over(order)).where(f"r <= {sample}").drop("r")
+    chosen = first_of_each(known, "quality", sample, [F.xxhash64("doc_id"), F.col("doc_id")])
     texts = docs.select(column(docs, "doc_id", "long").alias("doc_id"), column(docs, "text", "string").alias("text"))
     got = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text").toArrow()  # at most `sample` ids for each of two labels
     got = got.sort_by([("doc_id", "ascending"), ("text", "ascending")])
