@@ -64,7 +64,8 @@ def ranks(df: DataFrame, keys: list[str], size: str | None = None) -> DataFrame:
 def first_of_each(df: DataFrame, key: str, n: int, order: list) -> DataFrame:
     """At most n rows of each key, the first in the given order.
 
-    First within 64 salts of a key, then among at most 64 * n rows, so no task sees a whole key.
+    First within 64 salts of a key, then among at most 64 * n rows: a task may see a whole key that has
+    no more than these, and only a 64th of a larger one in the first step.
     """
     df = df.withColumn("_salt", F.pmod(F.xxhash64(F.lit(7), *order), F.lit(64)))
     for by in ([key, "_salt"], [key]):
