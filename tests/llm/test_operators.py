@@ -157,6 +157,26 @@ def test_passages(docs, empty):
     assert passages.repeated_passages(empty).count() == 0
 
 
+def hashed(w):
+    return passages.shingles(np.array(w, np.uint64), np.array([len(w)]))[0]
+
+
+def test_passages_with_edits():
+    rng = np.random.default_rng(4)
+    some = lambda n: rng.integers(0, 1 << 62, n).tolist()
+    for n in (50, 55, 60, 70, 80):
+        for k in range(n):
+            p = some(n)
+            q = p[:k] + some(1) + p[k + 1 :]
+            (found,) = passages.matched(hashed(some(60) + p + some(40)), hashed(some(30) + q + some(90)), 46, 75)
+            s, e, x, y = found
+            assert s <= 30 + (k + 1 if k < 5 else 0) and e >= 30 + n - 4 - (n - k if k >= n - 5 else 0) and x - 60 == s - 30 and y - 60 == e - 30
+    p = some(100)
+    q = p[:33] + some(1) + p[34:66] + some(1) + p[67:]
+    assert passages.matched(hashed(some(60) + p), hashed(some(30) + q), 46, 75) == [(30, 126, 60, 156)]
+    assert passages.matched(hashed(some(20) + p[:50] + some(6) + p[50:]), hashed(p), 46, 75) == [(0, 96, 20, 122)]
+
+
 def test_language(docs, empty):
     f = language.fit(docs)
     got = {r.doc_id: r for r in language.identify(docs, f).collect()}
