@@ -177,6 +177,31 @@ def test_passages_with_edits():
     assert passages.matched(hashed(some(20) + p[:50] + some(6) + p[50:]), hashed(p), 46, 75) == [(0, 96, 20, 122)]
 
 
+def pairs_of(df):
+    return {(r.doc_id, r.with_id) for r in df.collect()}
+
+
+def around(rng, n, middle):
+    some = lambda: [f"f{x}" for x in rng.integers(0, 1 << 40, n)]
+    return " ".join(some() + middle + some())
+
+
+SHARED = [f"q{i}" for i in range(60)]
+
+
+def frequent(rng, n):
+    """Texts with 40 words of SHARED each: too few for a passage, enough for its groups."""
+    return [around(rng, 20, SHARED[i % 21 : i % 21 + 40]) for i in range(n)]
+
+
+def test_passages_where_the_largest_id_is_a_copy(spark):
+    rng = np.random.default_rng(5)
+    b, c = around(rng, 40, SHARED), around(rng, 40, SHARED)
+    rows = list(enumerate(frequent(rng, 84))) + [(102, b), (103, c), (104, b)]
+    got = pairs_of(passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got == {(103, 102), (104, 102)}
+
+
 def test_language(docs, empty):
     f = language.fit(docs)
     got = {r.doc_id: r for r in language.identify(docs, f).collect()}
