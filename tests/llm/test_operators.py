@@ -202,6 +202,14 @@ def test_passages_where_the_largest_id_is_a_copy(spark):
     assert got == {(103, 102), (104, 102)}
 
 
+def test_passages_between_the_ends_of_a_group(spark):
+    rng = np.random.default_rng(6)
+    common = frequent(rng, 168)
+    rows = list(enumerate(common[:84])) + [(102, around(rng, 40, SHARED)), (103, around(rng, 40, SHARED))] + list(enumerate(common[84:], 200))
+    got = pairs_of(passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got == {(103, 102)}
+
+
 def test_language(docs, empty):
     f = language.fit(docs)
     got = {r.doc_id: r for r in language.identify(docs, f).collect()}
