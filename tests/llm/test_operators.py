@@ -161,6 +161,12 @@ def hashed(w):
     return passages.shingles(np.array(w, np.uint64), np.array([len(w)]))[0]
 
 
+def test_digests_of_copies_are_equal():
+    one = np.arange(1, 61, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for d in passages._digests(np.tile(one, 500), np.full(500, 60)):
+        assert len(set(d.tolist())) == 1
+
+
 def test_passages_with_edits():
     rng = np.random.default_rng(4)
     some = lambda n: rng.integers(0, 1 << 62, n).tolist()
