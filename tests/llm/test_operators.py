@@ -208,6 +208,17 @@ def test_passages_where_the_largest_id_is_a_copy(spark):
     assert got == {(103, 102), (104, 102)}
 
 
+def test_passages_of_the_least_length_are_candidates(spark):
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(600):
+        p = [f"f{x}" for x in rng.integers(0, 1 << 40, 51)]
+        k = int(rng.integers(4, 46))
+        rows += [(2 * i, " ".join(p[:50])), (2 * i + 1, " ".join(p[:k] + p[50:] + p[k + 1 : 50]))]
+    got = pairs_of(passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got == {(2 * i + 1, 2 * i) for i in range(600)}
+
+
 def test_passages_between_the_ends_of_a_group(spark):
     rng = np.random.default_rng(6)
     common = frequent(rng, 168)
