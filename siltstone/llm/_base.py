@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 import numpy as np
@@ -14,27 +15,51 @@ from pyspark.sql.types import LongType, StructField, StructType
 #: ASCII white space: space, tab, newline, vertical tab, form feed, carriage return.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 WORD = r"[^\x20\x09-\x0D]+"
-#: Bytes of text that one vectorised step works on.
-STEP = 1 << 20
+#: Bytes of text, and texts, that one vectorised step works on.
+STEP, STEP_ROWS = 1 << 20, 2048
 _U = np.uint64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what a task hands to its Python worker at once: 1000 rows and 4 MB instead of Spark's 10000 and 64.
+
+    Whole texts go in these batches, in the JVM's and in the worker's memory at a time.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the folder that the cluster names in spark.checkpoint.dir and goes on from there.
 
-    Where that is unset (a single machine, tests) a temporary folder serves.
+    Where that is unset, a temporary folder serves on a single machine (tests); a cluster must name one.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if not spark.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="siltstone-"))
     return df.checkpoint(eager=True)
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Column names for own use that df doesn't hold (in any case): _name, or with more underscores before it."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        name = f"_{name}"
+        while name in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def column(df: DataFrame, name: str, kind: str) -> F.Column:
     """A column by name, as the given type; a null literal where df has none."""
     return F.col(f"`{name}`").cast(kind) if name in df.columns else F.lit(None).cast(kind)
@@ -206,10 +231,23 @@ def shingles(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def steps(offsets: np.ndarray) -> list[tuple[int, int]]:
-    """Row ranges whose texts have about STEP bytes together (a longer text stands alone)."""
+    """Row ranges of at most STEP_ROWS texts of about STEP bytes together (a longer text stands alone)."""
     out, lo, n = [], 0, len(offsets) - 1
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + STEP, side="right")) - 1)
-        out.append((lo, min(hi, n)))
-        lo = min(hi, n)
+        out.append((lo, min(hi, lo + STEP_ROWS, n)))
+        lo = out[-1][1]
     return out
+
+
+def sets(ids: pa.Array, col: pa.Array) -> list[np.ndarray]:
+    """The sorted set of 5-word shingle hashes of each text; one that follows itself, by its id, is hashed once."""
+    own = ids.to_numpy(zero_copy_only=False)
+    first = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, np.int64)
+    data, offsets = raw(col.take(pa.array(first)))
+    out = []
+    for lo, hi in steps(offsets):
+        h, counts = shingles(*words(data, offsets[lo : hi + 1]))
+        ends = np.cumsum(counts)
+        out += [np.unique(h[e - c : e]) for e, c in zip(ends, counts, strict=True)]
+    return [out[i] for i in np.searchsorted(first, np.arange(len(own)), side="right") - 1]
