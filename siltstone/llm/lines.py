@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import column, cut, table
+from ._base import column, cut, free, small_batches, table
 
 #: Lines of the shortest repeated run that is deleted.
 RUN = 3
@@ -16,62 +16,77 @@ def _blank(x):
 
 
 def _prepared(docs: DataFrame) -> DataFrame:
-    """The document's key (_id, _tie), and of its lines that are not blank the numbers (_i) and the
-    hashes, trimmed (_h)."""
+    """The document's key (_id, _tie), and the hashes of its lines that are not blank, trimmed (_h)."""
     text = F.coalesce(column(docs, "text", "string"), F.lit(""))
-    lines = F.split(text, "\n")
-    numbers = F.filter(F.transform(lines, lambda x, i: F.when(~_blank(x), i.cast("int"))), lambda i: i.isNotNull())
-    hashes = F.transform(F.filter(lines, lambda x: ~_blank(x)), lambda x: F.xxhash64(F.btrim(x, F.lit(" \t\r\x0b\x0c"))))
-    return docs.select(column(docs, "doc_id", "long").alias("_id"), F.xxhash64(text).alias("_tie"), numbers.alias("_i"), hashes.alias("_h"))
+    hashes = F.transform(F.filter(F.split(text, "\n"), lambda x: ~_blank(x)), lambda x: F.xxhash64(F.btrim(x, F.lit(" \t\r\x0b\x0c"))))
+    return docs.select(column(docs, "doc_id", "long").alias("_id"), F.xxhash64(text).alias("_tie"), hashes.alias("_h"))
+
+
+def fingerprints(rows: DataFrame, run: int) -> DataFrame:
+    """(_id, _tie, fp, at, windows): the places that winnowing selects, and what lies around each.
+
+    Of each `run` neighbouring lines the least hash is selected, the last one of equal ones. Neighbouring
+    windows mostly select the same place, which comes once. windows has, for each of them, where it
+    begins and a hash of the place's line with those before and behind it in the window.
+    """
+    chosen = F.transform(F.sequence(F.lit(0), F.size("_h") - run), lambda s: s + run - F.array_position(F.reverse(F.slice("_h", s + 1, run)), F.array_min(F.slice("_h", s + 1, run))).cast("int"))
+    places = rows.withColumn("_chosen", chosen).select("_id", "_tie", "_h", "_chosen", F.explode(F.array_distinct("_chosen")).alias("at"))
+    near = F.sequence(F.greatest(F.lit(0), F.col("at") - (run - 1)), F.least(F.col("at"), F.size("_h") - run))
+    own = F.filter(near, lambda s: F.get("_chosen", s) == F.col("at"))
+    windows = F.transform(own, lambda s: F.struct(s.alias("begin"), F.xxhash64(F.slice("_h", s + 1, run)).alias("lines")))
+    return places.select("_id", "_tie", F.get("_h", F.col("at")).alias("fp"), "at", windows.alias("windows"))
 
 
 def repeated_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """(_id, _tie, _gone): for each document with repeated runs, the lines to delete, counted from 0.
-
-    A window is `run` lines in a row. Winnowing selects the least line hash of each window as its
-    fingerprint, at its last place: two windows that are equal select the same one, and a run of
-    neighbouring windows shares few. Only places whose fingerprint occurs more than once in the corpus
-    can repeat; the windows around them, extended both ways, are compared by the hash of all their
-    lines with the first place, in order of (doc_id, hash of the text, line), where these lines occur.
-    The windows that come later are deleted; runs of any length are unions of windows.
+    """(_id, _tie, _begins): where stretches of `run` lines to delete begin, in lines that are not blank, from 0.
+
+    Winnowing guarantees that two equal runs of at least `run` lines have a selected fingerprint in each
+    `run` lines of them, at the same places. So only selected places are moved, one row each, and of
+    these only the ones whose fingerprint occurs more than once go on. A place is joined with the first place, in order
+    of (doc_id, hash of the text, line), of the same fingerprint that has the same lines before and behind it, for each way
+    to extend it to both sides to `run` lines. Where the place itself comes later, these lines
+    are deleted; longer runs are unions of such extensions, as their places lie less than `run` lines apart.
     """
     rows = _prepared(docs).where(F.size("_h") >= run)
-    starts = F.sequence(F.lit(0), F.size("_h") - run)
-    chosen = F.transform(starts, lambda i: i + run - F.array_position(F.reverse(F.slice("_h", i + 1, run)), F.array_min(F.slice("_h", i + 1, run))).cast("int"))
-    # neighbouring windows select few places; each counts once
-    places = rows.select(F.explode(F.transform(F.array_distinct(chosen), lambda p: F.get("_h", p))).alias("fp"))
+    places = fingerprints(rows, run)
     shared = places.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
-    each = F.transform(starts, lambda i: F.struct(i.cast("int").alias("at"), F.array_min(F.slice("_h", i + 1, run)).alias("fp"), F.xxhash64(F.slice("_h", i + 1, run)).alias("key"), F.slice("_i", i + 1, run).alias("lines")))
-    wide = rows.select("_id", "_tie", F.explode(each).alias("w")).select("_id", "_tie", "w.at", "w.fp", "w.key", "w.lines")
-    found = cut(wide.join(shared, "fp", "left_semi").select("_id", "_tie", "at", "key", "lines"))
-    first = found.groupBy("key").agg(F.min(F.struct("_id", "_tie", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
-    later = found.join(first, "key").where(F.struct("_id", "_tie", "at") > F.col("first"))
-    gone = F.sort_array(F.array_distinct(F.flatten(F.collect_list("lines"))))
-    return later.groupBy("_id", "_tie").agg(gone.alias("_gone"))
+    met = cut(places.join(shared, "fp", "left_semi"))
+    sides = met.select("_id", "_tie", "fp", F.explode("windows").alias("w")).select("_id", "_tie", "fp", "w.lines", "w.begin")
+    first = sides.groupBy("fp", "lines").agg(F.min(F.struct("_id", "_tie", "begin")).alias("first"), F.count("*").alias("n")).where("n > 1").select("fp", "lines", "first")
+    later = sides.join(first, ["fp", "lines"]).where(F.struct("_id", "_tie", "begin") > F.col("first"))
+    return later.groupBy("_id", "_tie").agg(F.collect_set("begin").alias("_begins"))
 
 
 def drop_repeated_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
     """docs with later occurrences of repeated runs of at least `run` lines deleted, in all its columns.
 
-    text loses these lines; n_chars, where docs has it, follows; `lines_deleted` is not added, so the
-    columns stay as they are. Lines compare without white space around them; blank lines don't count as
+    text loses these lines; n_chars, where docs has it, follows; no column is added, and none of docs is taken for
+    an own one, whatever its name. Lines compare without white space around them; blank lines don't count as
     lines and stay, except that a text of which no other line is left becomes empty. Order is by
     doc_id (null first), then by a hash of the text, so the first occurrence is never deleted; rows
     that repeat a doc_id with the same text are one place and keep the same lines. Null text stays null.
     """
-    deletions = repeated_lines(docs, run)
-    marked = docs.withColumns({"_own": column(docs, "doc_id", "long"), "_hash": F.xxhash64(F.coalesce(column(docs, "text", "string"), F.lit("")))})
-    joined = marked.join(deletions, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_tie")), "left")
-    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i.cast("int")))
+    small_batches(docs.sparkSession)
+    own, same, begins, numbers, gone = free(docs, "own", "same", "begins", "numbers", "gone")
+    deletions = repeated_lines(docs, run).toDF(f"{own}_id", f"{own}_tie", begins)
+    marked = docs.withColumns({own: column(docs, "doc_id", "long"), same: F.xxhash64(F.coalesce(column(docs, "text", "string"), F.lit("")))})
+    joined = marked.join(deletions, F.col(own).eqNullSafe(F.col(f"{own}_id")) & (F.col(same) == F.col(f"{own}_tie")), "left")
+    filled = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.when(~_blank(x), i.cast("int"))), lambda i: i.isNotNull())
+    lines = F.array_distinct(F.flatten(F.transform(begins, lambda s: F.slice(numbers, s + 1, run))))
+    joined = joined.withColumn(numbers, F.when(F.col(begins).isNotNull(), filled)).withColumn(gone, lines)
+    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(gone, i.cast("int")))
     new = F.when(F.exists(kept, lambda x: ~_blank(x)), F.array_join(kept, "\n")).otherwise(F.lit(""))
-    out = joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(new))
+    out = joined.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(new))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_lines_deleted and the text that is left, for every document."""
+    """doc_id, n_lines_deleted and the SHA-256 of the text that is left (null: of an empty one), for every document.
+
+    Ties, repeats and nulls as in drop_repeated_lines; an empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     count = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: ~_blank(x)))
     out = drop_repeated_lines(docs.withColumn("n_lines", count))
