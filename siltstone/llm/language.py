@@ -8,7 +8,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import column, first_of_each, mix, raw, seeds, table
+from ._base import column, first_of_each, mix, raw, seeds, small_batches, table
 
 _U = np.uint64
 GRAM = 5
@@ -74,8 +74,8 @@ class Filters:
     def where(self, h: np.ndarray) -> list[np.ndarray]:
         return [(mix(h ^ s) % _U(self.slots)).astype(np.int64) for s in self.salt]
 
-    def hits(self, h: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """(texts, languages): how many grams of a text each language holds, less those held falsely."""
+    def held(self, h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """(texts, languages): how many grams of a text the filter of each language holds."""
         out = np.zeros((len(counts), len(self.names)))
         some = np.flatnonzero(counts)
         if not len(some):
@@ -87,10 +87,14 @@ class Filters:
                 found &= m[x]
             for l in range(64 * p, min(64 * p + 64, len(self.names))):
                 bits = (found >> m.dtype.type(l % 64)) & m.dtype.type(1)
-                got = np.add.reduceat(bits.astype(np.int64), starts)
-                out[some, l] = np.maximum(0, (got - counts[some] * self.false[l]) / max(1e-9, 1 - self.false[l]))
+                out[some, l] = np.add.reduceat(bits.astype(np.int64), starts)
         return out
 
+    def corrected(self, held: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Counts less those that are held falsely, 0 at least."""
+        false = np.array(self.false)
+        return np.maximum(0, (held - counts[:, None] * false) / np.maximum(1e-9, 1 - false))
+
 
 def _long_steps(offsets: np.ndarray) -> list[tuple[int, int]]:
     out, lo, n = [], 0, len(offsets) - 1
@@ -103,12 +107,20 @@ def _long_steps(offsets: np.ndarray) -> list[tuple[int, int]]:
 
 def _scores(filters: Filters, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     if offsets[-1] - offsets[0] <= 2 * _STEP:
-        return filters.hits(*grams(data, offsets))
-    total = np.zeros((1, len(filters.names)))  # one very long text, in parts that overlap
-    for at in range(int(offsets[0]), int(offsets[-1]), _STEP):
-        stop = min(at + _STEP + GRAM - 1, int(offsets[-1]))
-        total += filters.hits(*grams(data, np.array([at, stop])))
-    return total
+        h, counts = grams(data, offsets)
+        return filters.corrected(filters.held(h, counts), counts)
+    held, total = np.zeros((1, len(filters.names))), np.zeros(1)
+    # one very long text: raw counts of parts that overlap by a gram, corrected once
+    at, end = int(offsets[0]), int(offsets[-1])
+    while at < end:
+        stop = min(at + _STEP, end)
+        while stop < end and data[stop] & 0xC0 == 0x80:  # a part begins with a whole character
+            stop -= 1
+        h, counts = grams(data, np.array([at, min(stop + GRAM - 1, end)]))
+        held += filters.held(h, counts)
+        total += counts
+        at = stop
+    return filters.corrected(held, total)
 
 
 def _predicted(filters):
@@ -147,14 +159,15 @@ def fit(docs: DataFrame, sample: int = 400, slots: int = 1 << 20, hashes: int =
     """Filters from at most `sample` documents of each language: those first by a hash of doc_id.
 
     Only rows with text, lang and a doc_id whose crc32 as text leaves a remainder other than 2 on
-    division by 4 take part. A gram enters the filter of a language if it occurs there at least twice and
+    division by 4 take part; of rows that repeat doc_id and lang, the smallest text. A gram enters the filter of a language if it occurs there at least twice and
     at a rate of at least `ratio` times the largest of any language.
     """
     kinds = {"doc_id": "long", "text": "string", "lang": "string"}
     docs = docs.select(*[column(docs, c, k).alias(c) for c, k in kinds.items()])
     rows = docs.where("text is not null and lang is not null and crc32(cast(doc_id as string)) % 4 != 2")
     chosen = first_of_each(rows.select("doc_id", "lang").distinct(), "lang", sample, [F.xxhash64("doc_id"), F.col("doc_id")])
-    got = rows.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text").toArrow()  # at most `sample` ids a language
+    rows = rows.join(F.broadcast(chosen), ["doc_id", "lang"])  # at most `sample` ids a language
+    got = rows.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).orderBy("lang", "doc_id").select("lang", "text").toArrow()
     names = sorted(set(got.column("lang").to_pylist()))
     samples = []
     for name in names:
@@ -181,11 +194,16 @@ def identify(docs: DataFrame, filters: Filters) -> DataFrame:
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
     schema = StructType([*kept, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(filters)  # slots x 1 to 8 bytes for each 64 languages
     return docs.mapInArrow(lambda batches: _predicted(sent)(batches), schema)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out (never learned from), lang_pred and score of every row of documents; see identify().
+
+    A null text, or one without letters, is `und` with score 0; a null doc_id isn't held out; repeated rows each come back.
+    """
     docs = table(spark, sf_dir, "documents")
     out = identify(docs.select("doc_id", "text"), fit(docs))
     held = F.coalesce(F.expr("crc32(cast(doc_id as string)) % 4 = 2"), F.lit(False))

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import _SPACE, _words_of, column, first_of_each, raw, table
+from ._base import _SPACE, _words_of, column, first_of_each, raw, small_batches, table
 
 _STEP = 1 << 20
 THRESHOLD = 0.3
@@ -152,15 +152,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 1500) -> Field:
     """A field from at most `sample` documents of each quality, those first by a hash of doc_id.
 
     Only labels of rows whose crc32 of doc_id, as text, isn't divisible by 5 take part. A document with
-    several labels counts with the smallest. Without documents of both labels, all scores are equal.
+    several labels counts with the smallest, one with several texts with the smallest text. Without documents of both labels, all scores are equal.
     """
     known = labels.select(column(labels, "doc_id", "long").alias("doc_id"), column(labels, "quality", "int").alias("quality"))
     known = known.where("doc_id is not null and quality in (0, 1) and crc32(cast(doc_id as string)) % 5 != 0")
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = first_of_each(known, "quality", sample, [F.xxhash64("doc_id"), F.col("doc_id")])
     texts = docs.select(column(docs, "doc_id", "long").alias("doc_id"), column(docs, "text", "string").alias("text"))
-    got = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text").toArrow()  # at most `sample` ids for each of two labels
-    got = got.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    got = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).toArrow()  # at most `sample` ids for each of two labels
+    got = got.sort_by([("doc_id", "ascending")])
     data, offsets = raw(got.column("text"))
     x, counts, size = features(data, offsets)
     field = Field(x.shape[1])
@@ -176,6 +176,7 @@ def score(docs: DataFrame, field: Field) -> DataFrame:
     Lines are what newlines separate; a null or empty text is one empty line and gets a score like any
     other. Repeated rows and null doc_ids are scored like others; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(field)  # a few hundred numbers
 
     def run(batches):
@@ -192,6 +193,10 @@ def score(docs: DataFrame, field: Field) -> DataFrame:
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out (never learned from), score and predicted of every row of documents; see score().
+
+    Null and empty texts are scored too; a null doc_id isn't held out; repeated rows each come back.
+    """
     docs = table(spark, sf_dir, "documents")
     out = score(docs, fit(docs, table(spark, sf_dir, "labels")))
     held = F.coalesce(F.expr("crc32(cast(doc_id as string)) % 5 = 0"), F.lit(False))
