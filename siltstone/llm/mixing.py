@@ -9,12 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import WORD, column, cut, mix, ranks, seeds, table
+from ._base import WORD, column, cut, free, mix, ranks, seeds, small_batches, table
 
 BLOCK = 512
 SHARD = 4096
-#: Shards at most; beyond, shards get longer.
-SHARDS = 4096
 _U = np.uint64
 
 
@@ -91,27 +89,41 @@ def _position(index: int, n: int, epoch: int, seed: int) -> int:
             return x
 
 
-def draws(slots: list[int], shard: int, seed: int) -> list[tuple[int, int, int, int]]:
-    """(shard, source, first slot, slots): multinomial counts of each shard by what sources have left.
+def _drawn(left: np.ndarray, size: int, seed: tuple[int, ...]) -> np.ndarray:
+    """`size` slots drawn among sources by what each has left: a multinomial draw.
 
     Counts beyond what a source has left go to those with most left, so all slots are drawn in the end.
     """
+    total = int(left.sum())
+    if size >= total:
+        return left.copy()
+    counts = np.minimum(np.random.default_rng(seed).multinomial(size, left / total), left)
+    for i in np.argsort(-(left - counts), kind="stable"):
+        more = min(size - int(counts.sum()), int(left[i] - counts[i]))
+        counts[i] += more
+    return counts
+
+
+def draws(slots: list[int], shard: int, seed: int, first: int, stop: int):
+    """(shard, source, first slot, slots) for the shards from first to stop, by shard.
+
+    Shards of `shard` slots are the leaves of a binary tree: at each node the slots of its first half are
+    drawn from what the node has of each source, the other half has the rest. So any shard's counts follow from
+    the draws on the way to it, and tasks make theirs without the others.
+    """
     left = np.array(slots, np.int64)
-    drawn, out = np.zeros(len(slots), np.int64), []
-    shard = max(shard, -(-int(left.sum()) // SHARDS))
-    rng = np.random.default_rng(seed)
-    k = 0
-    while left.sum():
-        size = min(shard, int(left.sum()))
-        counts = np.minimum(rng.multinomial(size, left / left.sum()), left)
-        for i in np.argsort(-(left - counts), kind="stable"):
-            more = min(size - int(counts.sum()), int(left[i] - counts[i]))
-            counts[i] += more
-        out += [(k, int(i), int(drawn[i]), int(counts[i])) for i in np.flatnonzero(counts)]
-        drawn += counts
-        left -= counts
-        k += 1
-    return out
+    shards = -(-int(left.sum()) // shard)
+    todo = [(0, shards, 1, np.zeros_like(left), left)]
+    while todo:
+        lo, hi, node, drawn, left = todo.pop()
+        if hi <= first or lo >= stop or lo >= hi:
+            continue
+        if hi - lo == 1:
+            yield from ((lo, int(i), int(drawn[i]), int(left[i])) for i in np.flatnonzero(left))
+            continue
+        mid = (lo + hi) // 2
+        half = _drawn(left, (mid - lo) * shard, (seed, node))
+        todo += [(mid, hi, 2 * node + 1, drawn + half, left - half), (lo, mid, 2 * node, drawn, half)]
 
 
 class Mix:
@@ -119,6 +131,7 @@ class Mix:
 
     def __init__(self, docs: DataFrame, weights=(1, 2, 3), cap: float = 3.0, block: int = BLOCK, shard: int = SHARD, seed: int = 10):
         spark = docs.sparkSession
+        small_batches(spark)
         text = column(docs, "text", "string")
         size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
         rows = cut(docs.select(column(docs, "doc_id", "long").alias("doc_id"), column(docs, "source", "string").alias("source"), size.alias("size"), F.xxhash64(text).alias("tie")))
@@ -136,8 +149,21 @@ class Mix:
         self.places = cut(ranks(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order), ["source"], "size"))
         self.places = self.places.join(self.sources, self.places.source.eqNullSafe(self.sources.source)).drop(self.sources.source)
         self.block, self.seed = block, seed
-        plan = [(k, i, first, n, self.quotas[i][0]) for k, i, first, n in draws([n * e + w + (r > 0) for n, e, w, r in self.quotas], shard, seed)]
-        self.plan = spark.createDataFrame(plan, "shard int, si int, first long, n long, blocks long")
+        self.shard = shard
+
+    def plan(self) -> DataFrame:
+        """(shard, si, first, n, blocks): the slots of each source that each shard draws."""
+        slots, shard, seed = [n * e + w + (r > 0) for n, e, w, r in self.quotas], self.shard, self.seed
+        blocks = np.array([q[0] for q in self.quotas], np.int64)
+
+        def run(batches):
+            for batch in batches:
+                ids = batch.column("id").to_numpy()
+                for at in np.split(ids, np.flatnonzero(np.diff(ids) != 1) + 1) if len(ids) else []:
+                    rows = np.array(list(draws(slots, shard, seed, int(at[0]), int(at[-1]) + 1)), np.int64).reshape(-1, 4)
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, rows.T), pa.array(blocks[rows[:, 1]])], ["shard", "si", "first", "n", "blocks"])
+
+        return self.sources.sparkSession.range(-(-sum(slots) // shard)).mapInArrow(run, "shard long, si long, first long, n long, blocks long")
 
     def slots(self) -> DataFrame:
         """(shard, si, slot, epoch, block): every slot of every shard and the block that fills it."""
@@ -150,13 +176,13 @@ class Mix:
                 block = permuted(slot % n, n, _key(si, epoch, seed))
                 yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("si"), batch.column("slot"), pa.array(epoch), pa.array(block)], ["shard", "si", "slot", "epoch", "block"])
 
-        each = self.plan.repartition("shard", "si").select("shard", "si", "blocks", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("slot"))
-        return each.mapInArrow(run, "shard int, si int, slot long, epoch long, block long")
+        each = self.plan().select("shard", F.col("si").cast("int").alias("si"), "blocks", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("slot"))
+        return each.mapInArrow(run, "shard long, si int, slot long, epoch long, block long")
 
     def uses(self) -> DataFrame:
         """(si, block, full, part): how often a block is taken whole, and the words taken of it once more."""
         s = self.sources.select("si", "blocks", "epochs", "whole", "rest")
-        x = self.slots().join(F.broadcast(s), "si")  # a row for each source
+        x = self.slots().join(s, "si")
         last = (F.col("rest") > 0) & (F.col("slot") == F.col("blocks") * F.col("epochs") + F.col("whole"))
         return x.groupBy("si", "block").agg(F.sum(F.when(last, 0).otherwise(1)).alias("full"), F.sum(F.when(last, F.col("rest")).otherwise(0)).alias("part"))
 
@@ -176,7 +202,7 @@ class Mix:
         took = self.overlaps().groupBy(*key).agg(F.sum(words).alias("taken"))
         all_ = took.unionByName(self.places.select(*key, F.lit(0).cast("long").alias("taken")))
         total = all_.where("size > 0").groupBy(*key).agg(F.sum("taken").alias("taken")).unionByName(all_.where("size = 0"))
-        return total.join(F.broadcast(self.sources), "si").select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), "source")
+        return total.join(self.sources, "si").select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), "source")
 
 
 def mix_sources(docs: DataFrame, **options) -> DataFrame:
@@ -211,19 +237,20 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     copies = m.places.groupBy(*key, "epochs").agg(F.count("*").alias("repeats"), F.max("size").alias("size"))
     on = lambda x, y: x.doc_id.eqNullSafe(y.doc_id) & x.tie.eqNullSafe(y.tie) & x.source.eqNullSafe(y.source)
     both = copies.join(spans, on(copies, spans), "left").select(copies.doc_id, copies.tie, copies.source, "epochs", "repeats", "size", "spans")
-    first = docs.withColumn("_tie", F.xxhash64(column(docs, "text", "string")))
-    once = first.dropDuplicates([c for c in ("doc_id", "_tie", "source") if c in first.columns])
-    named = both.select(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "source", "epochs", "repeats", "size", "spans")], F.col("tie").alias("_t"))
-    match = (F.col("_tie") == F.col("_t")) & column(once, "doc_id", "long").eqNullSafe(F.col("_doc_id")) & column(once, "source", "string").eqNullSafe(F.col("_source"))
-    rows = once.join(named, match).drop("_tie", "_t", "_doc_id", "_source")
+    # columns of docs go by number, so no name clashes with an own one
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    own = docs.withColumns(dict(zip(free(docs, "doc_id", "source", "tie"), (column(docs, "doc_id", "long"), column(docs, "source", "string"), F.xxhash64(column(docs, "text", "string"))), strict=True)))
+    once = own.toDF(*names, "doc_id", "source", "tie").dropDuplicates(["doc_id", "source", "tie"])
+    rows = once.join(both, on(once, both)).select(*names, "epochs", "repeats", "size", "spans")
     schema = docs.schema
+    text_of = names[docs.columns.index("text")] if "text" in docs.columns else None
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 pick, texts = [], []
-                values = [part.column(c).to_pylist() for c in ("text", "_epochs", "_repeats", "_size", "_spans")]
+                values = [part.column(c).to_pylist() if c else [None] * part.num_rows for c in (text_of, "epochs", "repeats", "size", "spans")]
                 for i, (text, epochs, repeats, size, spans) in enumerate(zip(*values, strict=True)):
                     whole = (epochs if size else min(epochs, 1)) * repeats
                     pick += [i] * whole
@@ -233,8 +260,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
                         texts.append(_stretches(text, [(s["a"], s["b"]) for s in each]))
                 take = part.take(pa.array(pick, pa.int64()))
                 out = []
-                for f in schema.fields:
-                    col = take.column(f.name)
+                for name, f in zip(names, schema.fields, strict=True):
+                    col = take.column(name)
                     if f.name == "text":
                         col = pa.array(texts, pa.string())
                     elif f.name == "n_chars":
@@ -261,4 +288,8 @@ def _stretches(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken and source of every row of documents; see mix_sources().
+
+    Null texts have size and taken 0; a null source is one, the last; repeated rows are documents of their own.
+    """
     return mix_sources(table(spark, sf_dir, "documents"))
