@@ -193,7 +193,7 @@ class Mix:
         each = self.places.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("before") / b), F.floor((end - 1) / b))))
         lo = F.greatest(F.col("before"), F.col("block") * b) - F.col("block") * b
         hi = F.least(end, (F.col("block") + 1) * b) - F.col("block") * b
-        return each.withColumn("lo", lo).withColumn("hi", hi).join(self.uses(), ["si", "block"])
+        return each.withColumn("lo", lo).withColumn("hi", hi).join(self.uses().hint("merge"), ["si", "block"])  # grows with the data, never sent whole
 
     def documents(self) -> DataFrame:
         """doc_id, size, source_size, target, taken, and source."""
