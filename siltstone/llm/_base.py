@@ -242,6 +242,11 @@ def steps(offsets: np.ndarray) -> list[tuple[int, int]]:
 
 def sets(ids: pa.Array, col: pa.Array) -> list[np.ndarray]:
     """The sorted set of 5-word shingle hashes of each text; one that follows itself, by its id, is hashed once."""
+    return sequences(ids, col, np.unique)
+
+
+def sequences(ids: pa.Array, col: pa.Array, kept=lambda h: h) -> list[np.ndarray]:
+    """What `kept` makes of the 5-word shingle hashes of each text; one that follows itself, by its id, is hashed once."""
     own = ids.to_numpy(zero_copy_only=False)
     first = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, np.int64)
     data, offsets = raw(col.take(pa.array(first)))
@@ -249,5 +254,5 @@ def sets(ids: pa.Array, col: pa.Array) -> list[np.ndarray]:
     for lo, hi in steps(offsets):
         h, counts = shingles(*words(data, offsets[lo : hi + 1]))
         ends = np.cumsum(counts)
-        out += [np.unique(h[e - c : e]) for e, c in zip(ends, counts, strict=True)]
+        out += [kept(h[e - c : e]) for e, c in zip(ends, counts, strict=True)]
     return [out[i] for i in np.searchsorted(first, np.arange(len(own)), side="right") - 1]
