@@ -13,6 +13,8 @@ from ._base import WORD, column, cut, free, mix, ranks, seeds, small_batches, ta
 
 BLOCK = 512
 SHARD = 4096
+#: Sources up to which their list, a few numbers each, is broadcast; a longer one is joined by shuffles.
+SOURCES_SENT = 10_000
 _U = np.uint64
 
 
@@ -143,11 +145,12 @@ class Mix:
         self.quotas = [quota(i, s, w, block, seed) for i, (s, w) in enumerate(zip(sizes, words, strict=True))]
         kinds = "source string, si int, source_size long, target double, blocks long, epochs long, whole long, rest long"
         data = [(r[0], i, r[1], t, *q) for i, (r, t, q) in enumerate(zip(found, self.targets, self.quotas, strict=True))]
-        self.sources = spark.createDataFrame(data, kinds)
+        sources = spark.createDataFrame(data, kinds)
+        self.sources = F.broadcast(sources) if len(data) <= SOURCES_SENT else sources
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         order = ["source", "doc_id", "tie"]
         self.places = cut(ranks(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order), ["source"], "size"))
-        self.places = self.places.join(self.sources, self.places.source.eqNullSafe(self.sources.source)).drop(self.sources.source)
+        self.places = self.places.join(self.sources, self.places.source.eqNullSafe(sources.source)).drop(sources.source)
         self.block, self.seed = block, seed
         self.shard = shard
 
@@ -181,9 +184,8 @@ class Mix:
 
     def uses(self) -> DataFrame:
         """(si, block, full, part): how often a block is taken whole, and the words taken of it once more."""
-        s = self.sources.select("si", "blocks", "epochs", "whole", "rest")
-        x = self.slots().join(s, "si")
-        last = (F.col("rest") > 0) & (F.col("slot") == F.col("blocks") * F.col("epochs") + F.col("whole"))
+        x = self.slots().join(self.sources.select("si", F.col("blocks").alias("n"), "epochs", "whole", "rest"), "si")
+        last = (F.col("rest") > 0) & (F.col("slot") == F.col("n") * F.col("epochs") + F.col("whole"))
         return x.groupBy("si", "block").agg(F.sum(F.when(last, 0).otherwise(1)).alias("full"), F.sum(F.when(last, F.col("rest")).otherwise(0)).alias("part"))
 
     def overlaps(self) -> DataFrame:
