@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as fn
-from siltstone.operators import chunks, graphs, retrieval
+from siltstone.operators import chunks, graphs, ranking, retrieval
 
 FLAGSHIP = "A2_bm25_top_k"
 QUERIES: dict = {}
@@ -81,9 +81,9 @@ def F2_repo_names(spark, d):
     return table(spark, d, "customer").select("c_custkey", fn.repo_of(F.concat(F.lit("own__"), F.lower("c_mktsegment"), F.lit("-"), F.col("c_custkey").cast("string"))).alias("repo"))
 
 
-@query("select page_id, list_extract(string_split(url, '//'), -1) as path from pages")
+@query("select page_id, case when regexp_matches(url, '(?i)com/(.+)$') then regexp_extract(url, '(?i)com/(.+)$', 1) else list_extract(string_split(url, '//'), -1) end as path from pages")
 def F3_clean_paths(spark, d):
-    return table(spark, d, "pages").select("page_id", fn.shown_path(F.col("url")).alias("path"))
+    return table(spark, d, "pages").select("page_id", fn.clean_path(F.col("url"), "com").alias("path"))
 
 
 @query("select conv_id, turn, coalesce(nullif(case when role = 'user' then '' else role end, ''), nullif(text, '')) as value from conversations")
@@ -111,9 +111,14 @@ def F12_test_paths(spark, d):
     return table(spark, d, "pages").select("page_id", fn.is_test_path(F.col("url")).alias("is_test"))
 
 
-@query("select event_id, case when regexp_matches(lower(event_type), 'context|too long|maximum') then 'context_length' when regexp_matches(lower(event_type), 'api|rate|timeout') then 'api' else 'system' end as kind from events")
+_MESSAGE = "case event_id % 7 when 0 then 'Context window: length ' || event_id when 1 then 'generate failed ' when 2 then 'read timed out' when 3 then 'HTTP ' || (426 + event_id % 9) when 4 then 'Rate limit' when 5 then 'tokens\nin context' else event_type end"
+
+
+@query(f"""with m as (select event_id, lower({_MESSAGE.replace(chr(10), "' || chr(10) || '")}) as m from events)
+select event_id, case when contains(m, 'context') and (contains(m, 'length') or contains(m, 'token')) or contains(m, 'maximum context') or contains(m, 'max context') then 'CONTEXT_LENGTH_ERROR'
+when contains(m, 'timeout') or contains(m, 'timed out') or contains(m, '429') or contains(m, '500') or contains(m, '502') or contains(m, '503') or contains(m, '504') or contains(m, 'rate limit') or contains(m, 'server error') then 'LLM_API_ERROR' else 'SYSTEM_ERROR' end as kind from m""")
 def F19_error_kinds(spark, d):
-    return table(spark, d, "events").select("event_id", fn.error_kind(F.col("event_type")).alias("kind"))
+    return table(spark, d, "events").select("event_id", fn.error_kind(F.expr(_MESSAGE.replace("\n", "\\n"))).alias("kind"))
 
 
 @query("""select doc_id, contains(regexp_replace(text, '[ \\t\\n]', '', 'g'), 'onthe') as held from documents""")
@@ -126,7 +131,7 @@ def F25_tags(spark, d):
     return table(spark, d, "pages").select("page_id", F.array_join(F.regexp_extract_all("html", F.lit("(?s)<title>(.*?)</title>"), 1), "|").alias("titles"))
 
 
-@query("select doc_id, case when length(text) > 80 then substr(text, 1, 77) || '...' else text end as shown from documents")
+@query("with t as (select doc_id, trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as t from documents) select doc_id, case when length(t) > 80 then substr(t, 1, 77) || '...' else t end as shown from t")
 def F26_truncated(spark, d):
     return table(spark, d, "documents").select("doc_id", fn.truncated(F.col("text"), 80).alias("shown"))
 
@@ -144,7 +149,7 @@ def _scored(spark, d):
 @query("""with s as (select o_orderpriority as q, o_orderkey as i, o_totalprice as s from orders), w as (select *, min(s) over (partition by q) as lo, max(s) over (partition by q) as hi, avg(s) over (partition by q) as m, stddev_pop(s) over (partition by q) as sd from s)
 select 'minmax' as how, q as query_id, i as doc_id, round(case when hi - lo > 1e-8 then (s - lo) / (hi - lo) else 0 end, 6) as score from w
 union all select 'zscore', q, i, round(case when sd > 1e-8 then (s - m) / sd else 0 end, 6) from w
-union all select 'rank', q, i, round(1 / row_number() over (partition by q order by s desc, i), 6) from s
+union all select 'rank', q, i, round(s, 6) from s
 union all select 'sigmoid', q, i, round(1 / (1 + exp(-s)), 6) from s""")
 def F30_normalisers(spark, d):
     out = None
@@ -209,17 +214,17 @@ def _graph(spark, d):
     return edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), edges
 
 
-_GRAPH = """e as (select 'c' || c_custkey as src, 'n' || c_nationkey as dst, 'invokes' as type from customer union all select 'n' || n_nationkey, 'r' || n_regionkey, 'contains' from nation),
-v as (select distinct id from (select src as id from e union all select dst from e))"""
+_EDGES = """e as (select 'c' || c_custkey as src, 'n' || c_nationkey as dst, 'invokes' as type from customer union all select 'n' || n_nationkey, 'r' || n_regionkey, 'contains' from nation)"""
+_GRAPH = f"{_EDGES}, v as (select distinct id from (select src as id from e union all select dst from e))"
 
 
-@query(f"with {_GRAPH} select v.id, count(e.src) as in_degree from v left join e on e.dst = v.id group by v.id")
+@query(f"with {_GRAPH} select v.id, count(e.src) as in_degree from v left join e on e.dst = v.id and e.type = 'invokes' group by v.id")
 def A7_in_degree(spark, d):
     return graphs.in_degree(*_graph(spark, d))
 
 
 def _rank_sql(rounds: int) -> str:
-    out = f"with {_GRAPH}, l as (select distinct src, dst from e), o as (select src, count(*) as deg from l group by src), k as (select count(*) as n from v), r0 as (select id, 1.0 / n as rank, n from v, k)"
+    out = f"with {_EDGES}, l as (select distinct src, dst from e where type = 'invokes'), v as (select src as id from l union select dst from l), o as (select src, count(*) as deg from l group by src), k as (select count(*) as n from v), r0 as (select id, 1.0 / n as rank, n from v, k)"
     for i in range(1, rounds + 1):
         out += f""", g{i} as (select l.dst as id, sum(r.rank / o.deg) as got from l join o using (src) join r{i - 1} r on r.id = l.src group by l.dst),
         x{i} as (select coalesce(sum(rank), 0) as loose from r{i - 1} where id not in (select src from o)),
@@ -229,7 +234,7 @@ def _rank_sql(rounds: int) -> str:
 
 @query(_rank_sql(3))
 def A8_pagerank(spark, d):
-    return graphs.pagerank(*_graph(spark, d)).withColumn("rank", F.round("rank", 9))
+    return graphs.pagerank(_graph(spark, d)[1], rounds=3, tolerance=0).withColumn("rank", F.round("rank", 9))
 
 
 @query("""select event_type, count(*) as n, round(sum(value), 4) as total, round(avg(value), 6) as mean, count(distinct user_id) as users from events group by event_type""")
@@ -288,10 +293,14 @@ def R7_feedback_selection(spark, d):
 
 
 @query(f"""with {_RANKED}, a as (select q, f, min(r) as r from s where r <= 100 group by all), z as (select q, f, row_number() over (partition by q order by r) as k from a),
-n as (select s.q, s.i, s.f, row_number() over (partition by s.q order by s.s desc, s.i) as rank from s where exists (select 1 from z where z.q = s.q and z.f = s.f and z.k <= 8))
-select q as query_id, i as doc_id, f as file, rank from n where rank <= 20""")
+n as (select s.q, s.i, s.f, row_number() over (partition by s.q order by s.s desc, s.i) as rank from s where exists (select 1 from z where z.q = s.q and z.f = s.f and z.k <= 8)),
+h as (select q as query_id, i as doc_id, rank, 0 as pad from n where rank <= 20), k as (select query_id, count(*) as n from h group by 1),
+w as (select x.query_id, case when coalesce(k.n, 0) < 5 then 'fallback_stage1' when k.n >= 20 then 'stage2' else 'stage2+pad' end as reason from (select distinct q as query_id from s) x left join k using (query_id)),
+b as (select h.*, reason from h join w using (query_id) where reason <> 'fallback_stage1' union all select s.q, s.i, s.r, 1, reason from s join w on w.query_id = s.q where s.r <= 20 and (reason = 'fallback_stage1' or not exists (select 1 from h where h.query_id = s.q and h.doc_id = s.i)))
+select query_id, doc_id, reason, place from (select *, row_number() over (partition by query_id order by pad, rank) as place from b) where place <= 20""")
 def P4_two_stage(spark, d):
-    return retrieval.two_stage(_ranked(spark, d), "file", 100, 20, 8).select("query_id", "doc_id", "file", "rank")
+    first = retrieval.top(_ranked(spark, d), 100)
+    return ranking.accepted(first, retrieval.two_stage(_ranked(spark, d), "file", 100, 20, 8), 20)
 
 
 @query("""with b as (select l_suppkey as file, l_orderkey as b_id, l_linenumber as b_line, l_orderkey % 5000 as b_start, l_orderkey % 5000 + cast(l_quantity as bigint) as b_end from lineitem where l_linenumber = 1),

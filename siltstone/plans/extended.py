@@ -73,8 +73,8 @@ def P7_fused_sources(spark, d):
 
 
 @query("""with b as (select l_returnflag as query_id, l_suppkey as file, l_linenumber as source, nullif(cast(l_quantity as int), 7) as start_line, cast(l_quantity as int) + 5 as end_line, l_orderkey as rank from lineitem),
-k as (select *, row_number() over (partition by query_id, source order by rank) as n from b where start_line is not null),
-r as (select *, row_number() over (partition by query_id, file, start_line, end_line order by source, rank) as m from k where n <= 200) select query_id, file, start_line, end_line, source, rank from r where m = 1""")
+k as (select *, row_number() over (partition by query_id, source order by rank, file, start_line nulls last, end_line nulls last) as n from b),
+r as (select *, row_number() over (partition by query_id, file, start_line, end_line order by source, rank) as m from k where n <= 200 and start_line is not null) select query_id, file, start_line, end_line, source, rank from r where m = 1""")
 def P8_mapping_blocks(spark, d):
     q = F.col("l_quantity").cast("int")
     b = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("query_id"), F.col("l_suppkey").alias("file"), F.col("l_linenumber").alias("source"), F.nullif(q, F.lit(7)).alias("start_line"), (q + 5).alias("end_line"), F.col("l_orderkey").alias("rank"))
@@ -83,25 +83,28 @@ def P8_mapping_blocks(spark, d):
 
 @query("""with s as (select item_id % 4 as query_id, item_id as doc_id, cast(row_number() over (partition by item_id % 4 order by item_id) - 1 as int) as rank, cast(length(text) as bigint) as tokens from benchmark),
 a as (select *, sum(tokens) over (partition by query_id) as t, sum(least(tokens, 50)) over (partition by query_id order by rank) as need from s),
-k as (select * from a where t <= 400 or need <= 400), w as (select *, 400 - max(need) over (partition by query_id) as lft, power(1.05, -rank) as w from k)
-select query_id, doc_id, rank, tokens, cast(case when t <= 400 then tokens else least(tokens, 50 + floor(lft * w / sum(w) over (partition by query_id))) end as bigint) as given from w""")
+k as (select * from a where t < 400 or need <= 400), w as (select *, 400 - max(need) over (partition by query_id) as lft, power(1.05, -rank) as w from k)
+select query_id, doc_id, rank, tokens, cast(case when t < 400 then tokens else least(tokens, 50 + floor(lft * w / sum(w) over (partition by query_id))) end as bigint) as given from w""")
 def R10_token_budget(spark, d):
     order = Window.partitionBy("query_id").orderBy("doc_id")
     b = table(spark, d, "benchmark").select((F.col("item_id") % 4).alias("query_id"), F.col("item_id").alias("doc_id"), F.length("text").cast("long").alias("tokens"))
     return ranking.budgeted(b.withColumn("rank", F.row_number().over(order) - 1), 400)
 
 
-@query("""with q as (select vec_id as query_id, embedding as q0 from embeddings where vec_id < 3),
-f as (select query_id, vec_id, list_sum(list_transform(list_zip(q0, embedding), lambda z: cast(z[1] as double) * z[2])) as score, embedding from q, embeddings where vec_id % 50 = query_id + 10),
+@query("""with q as (select a.vec_id as query_id, a.embedding as q0, b.embedding as q1 from embeddings a join embeddings b on b.vec_id = a.vec_id + 1 where a.vec_id % 50 = 0),
+a as (select query_id, vec_id, list_sum(list_transform(list_zip(q0, embedding), lambda z: cast(z[1] as double) * z[2])) as score, embedding from q, embeddings),
+f as (select * from (select *, row_number() over (partition by query_id order by score desc, vec_id) as r from a) where r <= 8),
 w as (select *, exp((score - max(score) over (partition by query_id)) / 0.05) as w from f),
-e as (select query_id, w, unnest(range(0, len(embedding))) as i, unnest(embedding) as x from w), c as (select query_id, i, sum(w * cast(x as double)) / sum(w) as c from e group by all),
-o as (select query_id, unnest(range(0, len(q0))) as i, unnest(q0) as q from q), n as (select query_id, i, 0.5 * cast(q as double) + 0.35 * c + 0.15 * cast(q as double) as x from o join c using (query_id, i))
+e as (select query_id, w, unnest(range(0, len(embedding))) as i, unnest(embedding) as x from w), c0 as (select query_id, i, sum(w * cast(x as double)) / sum(w) as c from e group by all), c as (select query_id, i, c / sqrt(sum(c * c) over (partition by query_id)) as c from c0),
+o as (select query_id, unnest(range(0, len(q0))) as i, unnest(q0) as q, unnest(q1) as p from q), n as (select query_id, i, 0.5 * cast(q as double) + 0.35 * c + 0.15 * cast(p as double) as x from o join c using (query_id, i))
 select query_id, cast(i as int) as i, round(x / sqrt(sum(x * x) over (partition by query_id)), 6) as x from n""")
 def P2_moved_query(spark, d):
     v = table(spark, d, "embeddings")
-    q = v.where("vec_id < 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q0"))
-    f = v.join(F.broadcast(q), F.expr("vec_id % 50 = query_id + 10")).select("query_id", fn.dot(F.col("q0"), F.col("embedding")).alias("score"), "embedding")
-    return ranking.moved_query(f, q.withColumn("q", F.col("q0"))).withColumn("x", F.round("x", 6))
+    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q0"))
+    other = v.select((F.col("vec_id") - 1).alias("query_id"), F.col("embedding").alias("q"))
+    best = retrieval.top(retrieval.dense(v, v.where("vec_id % 50 = 0")), 8)  # the feedback
+    f = best.join(v.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id").select("query_id", "score", "embedding")
+    return ranking.moved_query(f, q.join(other, "query_id")).withColumn("x", F.round("x", 6))
 
 
 @query("""with q as (select vec_id as query_id, embedding as q from embeddings where vec_id < 5), s as (select query_id, vec_id as doc_id, round(list_sum(list_transform(list_zip(q, embedding), lambda z: (cast(z[1] as double) - z[2]) * (cast(z[1] as double) - z[2]))), 6) as distance from q, embeddings where label <> 0),
