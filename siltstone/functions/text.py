@@ -7,12 +7,13 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-IDENTIFIER = "([A-Za-z_][A-Za-z0-9_]*)"
+IDENTIFIER = "([a-z_][a-z0-9_]*)"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def tokens(text: Column) -> Column:
-    """Identifiers of a text, lower-cased, in order."""
-    return F.transform(F.regexp_extract_all(text, F.lit(IDENTIFIER), 1), lambda x: F.lower(x))
+    """Identifiers (A-Z lower-cased) of a text, in order; the text is folded once, no token by itself."""
+    return F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(IDENTIFIER), 1)
 
 
 def lines(text: Column) -> Column:

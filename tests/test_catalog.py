@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from siltstone.plans import catalog, extended  # noqa: F401  extended adds to the catalog
+from siltstone.plans import catalog, extended, rules  # noqa: F401  these add to the catalog
 
 DATA = "/root/testdata/sf0.001"
 
