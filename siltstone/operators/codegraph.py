@@ -45,8 +45,40 @@ def _imports(tree: ast.AST, path: str):
                 yield from ((module, a.name, a.asname) for a in node.names)
 
 
+def _called(node: ast.AST, deep: bool):
+    """Simple names of what is called below a node; with not deep, functions and classes defined there keep theirs."""
+    for child in ast.iter_child_nodes(node):
+        if not deep and isinstance(child, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
+            continue
+        if isinstance(child, ast.Call) and isinstance(child.func, ast.Name | ast.Attribute):
+            yield child.func.id if isinstance(child.func, ast.Name) else child.func.attr
+        yield from _called(child, deep)
+
+
+def _uses(kind: str, node: ast.AST):
+    """(kind, name): what a class inherits and its own `__init__` calls, or what a function calls."""
+    if kind == "function":
+        yield from (("invokes", n) for n in _called(node, False))
+        return
+    yield from (("inherits", b.id if isinstance(b, ast.Name) else b.attr) for b in node.bases if isinstance(b, ast.Name | ast.Attribute))
+    own = next((x for x in node.body if isinstance(x, ast.FunctionDef) and x.name == "__init__"), None)
+    yield from (("invokes", n) for n in (_called(own, True) if own else ()))
+
+
+def _visible(found: list[tuple]):
+    """(scope, inner) of dotted names, () for the file: what is defined in a scope, and in classes within it."""
+    classes = {name for kind, name, _ in found if kind == "class"}
+    for _, name, _ in found:
+        scope = name[:-1]
+        yield scope, name
+        while scope in classes:
+            scope = scope[:-1]
+            yield scope, name
+
+
 def facts(sources: DataFrame) -> DataFrame:
-    """Rows of FACTS for each file of sources (path, text) that ends in .py: kind is file, parsed, class, function or import.
+    """Rows of FACTS for each file of sources (path, text) that ends in .py: kind is file, parsed, class, function, import,
+    invokes, inherits (module: the name used) or member (module: what is visible in the scope).
 
     Lines count from 1. A text that is null or doesn't parse (or nests too deep) gives its file alone.
     """
@@ -62,6 +94,11 @@ def facts(sources: DataFrame) -> DataFrame:
         yield path, "parsed", None, None, None, None, None
         for kind, name, node in found:
             yield path, kind, ".".join(name), node.lineno, node.end_lineno, None, None
+        for kind, name, node in found:
+            for use, called in dict.fromkeys(_uses(kind, node)):
+                yield path, use, ".".join(name), None, None, called, None
+        for scope, inner in dict.fromkeys(_visible(found)):
+            yield path, "member", ".".join(scope), None, None, ".".join(inner), None
         for module, name, alias in _imports(tree, path):
             yield path, "import", name, None, None, module, alias
 
@@ -125,3 +162,43 @@ def imports(known: DataFrame) -> DataFrame:
     found = found.join(defined, ["whole", "name"], "left")
     goal = F.when(F.col("name").isNull(), F.col("whole")).otherwise(F.coalesce("sub", "entity", "whole"))
     return found.select("src", goal.alias("dst"), "alias").where("dst is not null")
+
+
+def _inits(links: DataFrame) -> DataFrame:
+    """(src, file): each file with itself and the packages that it imports, directly or through packages."""
+    step = links.where("dst like '%\\_\\_init\\_\\_.py' and src like '%.py'").select(F.col("src").alias("file"), F.col("dst").alias("next")).distinct()
+    reached = links.select("src", F.col("src").alias("file")).distinct()
+    while True:  # a round for each package on the longest way
+        more = reached.join(step, "file").select("src", F.col("next").alias("file"))
+        wider = reached.union(more).distinct()
+        if wider.count() == reached.count():
+            return reached
+        reached = wider
+
+
+def uses(known: DataFrame) -> DataFrame:
+    """(src, dst, type): what classes inherit, and what functions and classes' own `__init__` call, by visible names.
+
+    Visible are the definitions of the scopes around, with those in classes there, but not the scopes themselves; what the
+    file imports, by its name or alias, with what is in imported files and classes; and the same of packages that it
+    imports. All definitions of a name count.
+    """
+    used = known.where("kind in ('invokes', 'inherits')").select("path", F.col("name").alias("user"), F.col("kind").alias("type"), F.col("module").alias("called"))
+    inner = known.where("kind = 'member'").select("path", F.col("name").alias("scope"), F.col("module").alias("inner"), F.substring_index("module", ".", -1).alias("called"))
+    parts = F.split("user", r"\.")
+    around = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "."))
+    scopes = used.withColumn("scope", F.explode(around))
+    near = scopes.join(inner, ["path", "scope", "called"]).where("user != inner and not startswith(user, concat(inner, '.'))")
+    near = near.select(_entity("path", "user").alias("src"), _entity("path", "inner").alias("dst"), "type")
+    links = imports(known)
+    typed = nodes(known).select(F.col("id").alias("dst"), F.col("type").alias("kind"))
+    reached = _inits(links)
+    brought = reached.join(links.select(F.col("src").alias("file"), "dst", "alias"), "file").join(typed, "dst")
+    by_alias = brought.where("alias is not null").select("src", F.col("alias").alias("called"), "dst")
+    itself = brought.where("kind in ('class', 'function')").select("src", F.substring_index(F.substring_index("dst", ":", -1), ".", -1).alias("called"), "dst")
+    scope_of = inner.select(F.when(F.col("scope") == "", F.col("path")).otherwise(_entity("path", "scope")).alias("of"), "called", _entity("path", "inner").alias("goal"))
+    within = brought.where("kind in ('file', 'class')").select("src", F.col("dst").alias("of")).union(reached.where("src != file").select("src", F.col("file").alias("of")))
+    within = within.distinct().join(scope_of, "of").select("src", "called", F.col("goal").alias("dst"))
+    far = by_alias.union(itself).union(within).withColumnRenamed("src", "path").distinct()
+    far = used.join(far, ["path", "called"]).select(_entity("path", "user").alias("src"), "dst", "type")
+    return near.union(far).distinct()

@@ -247,12 +247,12 @@ def A13_names(spark, d):
     return table(spark, d, "part").groupBy(F.lower("p_brand").alias("name")).agg(F.array_join(F.sort_array(F.collect_list("p_partkey")), ",").alias("ids"))
 
 
-@query("""with s as (select a.vec_id as query_id, b.vec_id as doc_id, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: cast(z[1] as double) * z[2])) as score from embeddings a, embeddings b where a.vec_id < 5),
+@query("""with s as (select a.vec_id as query_id, b.vec_id as doc_id, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: cast(z[1] as double) * z[2])) as score from embeddings a, embeddings b where a.vec_id % 50 = 0),
 r as (select *, row_number() over (partition by query_id order by round(score, 6) desc, doc_id) as rank from s)
 select query_id, doc_id, round(score, 6) as score, rank from r where rank <= 10""")
 def R2_dense_top_k(spark, d):
     v = table(spark, d, "embeddings")
-    return retrieval.top(retrieval.dense(v, v.where("vec_id < 5")).withColumn("score", F.round("score", 6)), 10)
+    return retrieval.top(retrieval.dense(v, v.where("vec_id % 50 = 0")).withColumn("score", F.round("score", 6)), 10)
 
 
 def _two(spark, d):
@@ -303,11 +303,11 @@ def P4_two_stage(spark, d):
     return ranking.accepted(first, retrieval.two_stage(_ranked(spark, d), "file", 100, 20, 8), 20)
 
 
-@query("""with b as (select l_suppkey as file, l_orderkey as b_id, l_linenumber as b_line, l_orderkey % 5000 as b_start, l_orderkey % 5000 + cast(l_quantity as bigint) as b_end from lineitem where l_linenumber = 1),
+@query("""with b as (select l_suppkey as file, l_orderkey as b_id, l_linenumber as b_line, l_orderkey % 5000 as b_start, l_orderkey % 5000 + cast(l_quantity as bigint) as b_end from lineitem),
 s as (select s_suppkey as file, s_nationkey * 100 as s_start, s_nationkey * 100 + 400 as s_end from supplier)
 select file, b_id, b_start, b_end, s_start, s_end from b join s using (file) where b_start <= s_end and b_end >= s_start""")
 def J4_interval_overlap(spark, d):
-    b = table(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_suppkey").alias("file"), F.col("l_orderkey").alias("b_id"), (F.col("l_orderkey") % 5000).alias("b_start"), (F.col("l_orderkey") % 5000 + F.col("l_quantity").cast("long")).alias("b_end"))
+    b = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("file"), F.col("l_orderkey").alias("b_id"), (F.col("l_orderkey") % 5000).alias("b_start"), (F.col("l_orderkey") % 5000 + F.col("l_quantity").cast("long")).alias("b_end"))
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("file"), (F.col("s_nationkey") * 100).cast("long").alias("s_start"), (F.col("s_nationkey") * 100 + 400).cast("long").alias("s_end"))
     return graphs.overlapping(b, s, 200)
 
@@ -347,11 +347,6 @@ def K9_input_snapshot(spark, d):
     return table(spark, d, "pages").agg(F.sha1(F.array_join(F.sort_array(F.collect_list("url")), "\n")).alias("digest"), F.count("*").alias("n"))
 
 
-@query("select page_id, url from pages where regexp_matches(url, '^https?://[^/]+/.*[0-4]$')")
-def S13_glob(spark, d):
-    return table(spark, d, "pages").where(F.col("url").rlike("^https?://[^/]+/.*[0-4]$")).select("page_id", "url")
-
-
 @query("select event_id, ts from events where ts > timestamp '2024-01-15 00:00:00'")
 def S10_updated_since(spark, d):
     return table(spark, d, "events").where(F.col("ts") > F.lit("2024-01-15 00:00:00").cast("timestamp")).select("event_id", "ts")

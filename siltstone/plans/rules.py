@@ -46,6 +46,20 @@ def G3_imports(spark, d):
     return codegraph.imports(_known(spark))
 
 
+#: Sources that call and inherit: by scope, through packages, by alias.
+CALLS = [
+    ("a/__init__.py", "from a.core import Core, make as build\n"),
+    ("a/core.py", "def deco(f):\n    return f\n\nclass Core:\n    def __init__(self):\n        self.x = make()\n\n    def step(self):\n        return self.other()\n\n    def other(self):\n        return 1\n\n@deco\ndef make():\n    def part():\n        return Core()\n    return part()\n"),
+    ("b.py", "from a import Core as C, build\nimport a\n\nclass Sub(C):\n    def go(self):\n        build()\n        return self.step()\n\ndef free():\n    return go()\n"),
+]
+
+
+@query("""select * from (values ('a/core.py:Core', 'a/core.py:make', 'invokes'), ('a/core.py:Core.step', 'a/core.py:Core.other', 'invokes'), ('a/core.py:make', 'a/core.py:make.part', 'invokes'), ('a/core.py:make.part', 'a/core.py:Core', 'invokes'),
+('b.py:Sub', 'a/__init__.py', 'inherits'), ('b.py:Sub.go', 'a/core.py:make', 'invokes'), ('b.py:Sub.go', 'a/core.py:Core.step', 'invokes'), ('b.py:free', 'b.py:Sub.go', 'invokes')) v(src, dst, type)""")
+def G4_uses(spark, d):
+    return codegraph.uses(codegraph.facts(spark.createDataFrame(CALLS, "path string, text string")))
+
+
 @query("select * from (values ('class', 3), ('directory', 4), ('file', 7), ('function', 7)) v(type, n)")
 def G8_nodes_by_type(spark, d):
     return codegraph.nodes(_known(spark)).groupBy("type").agg(F.count("*").alias("n"))
@@ -106,7 +120,7 @@ def P3_settled(spark, d):
 
 
 @query(r"select page_id, regexp_replace(url, '^https?://', '') as path from pages where regexp_matches(regexp_replace(url, '^https?://', ''), '^(.*/)?[^/]*[.]example[.](com|net|org)/de/[0-9][^/]*$')")
-def S13_globbed(spark, d):
+def S13_glob(spark, d):
     paths = table(spark, d, "pages").select("page_id", F.regexp_replace("url", "^https?://", "").alias("path"))
     return chunks.matching(paths, ["*.example.com/de/[0-9]*", "*.example.net/de/[0-9]*", "*.example.org/de/[0-9]*"])
 
