@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import column, seeds, table
+from ._base import column, seeds, small_batches, table
 
 BUCKETS = 128
 #: A difference of this much or more is a likeness of 0.
@@ -78,13 +78,13 @@ def _followed(batches):
     """
     held = None
 
-    def out(row, after):
-        doc_id, text = row
+    def out(row, after, next_):
+        doc_id, text, own = row
         n = len(text)
         half = n // 2
         edited = (text[: n - half] + after[:half]).encode()
-        prints = [fingerprint(x) for x in (text.encode(), edited, after.encode())]
-        return doc_id, n, hashlib.sha256(edited).hexdigest(), *prints[:2], likeness(prints[0], prints[1]), likeness(prints[0], prints[2])
+        other = fingerprint(edited)
+        return doc_id, n, hashlib.sha256(edited).hexdigest(), own, other, likeness(own, other), likeness(own, next_)
 
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
@@ -92,13 +92,26 @@ def _followed(batches):
         for at in range(0, batch.num_rows, 1000):
             rows = []
             for part, ahead, doc_id, text in zip(*(batch.slice(at, 1000).column(c).to_pylist() for c in ("part", "ahead", "doc_id", "text")), strict=True):
+                print_ = fingerprint(text.encode())  # once as a text's own and as the next one's
                 if held and held[0] == part:
-                    rows.append(out(held[1], text))
-                held = None if ahead else (part, (doc_id, text))
+                    rows.append(out(held[1], text, print_))
+                held = None if ahead else (part, (doc_id, text, print_))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds, strict=True)], names)
 
 
+def _spread(spark: SparkSession, n: int) -> np.ndarray:
+    """n numbers of which each falls into a partition of its own when dealt to n partitions by hash."""
+    known: dict[int, int] = {}
+    at, size = 0, 16 * n
+    while len(known) < n:
+        dealt = spark.range(at, at + size).select(F.col("id").cast("int").alias("k")).select("k", F.pmod(F.hash("k"), F.lit(n)).alias("p"))
+        for k, p in dealt.groupBy("p").agg(F.min("k")).select(F.col("min(k)"), "p").collect():  # n rows
+            known.setdefault(p, k)
+        at += size
+    return np.array([known[p] for p in range(n)], np.int32)
+
+
 def fingerprints(docs: DataFrame, parts: int = 0) -> DataFrame:
     """Fingerprints of each text and of its edited text, which ends like the next document begins.
 
@@ -110,18 +123,23 @@ def fingerprints(docs: DataFrame, parts: int = 0) -> DataFrame:
     goes to the range before it too, so each range works alone. Bounds of ranges are quantiles of the
     ids: `parts` numbers (0: one for each 16 MB or so of input partitions) are all the driver holds.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(column(docs, "doc_id", "long").alias("doc_id"), F.coalesce(column(docs, "text", "string"), F.lit("")).alias("text"))
     ids = docs.select("doc_id")
     parts = parts or max(8, ids.rdd.getNumPartitions())
     bounds = ids.where("doc_id is not null").approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts)
     bounds = np.array(sorted({-int(b) for b in bounds}), np.int64)
 
+    names = _spread(docs.sparkSession, len(bounds) + 2)
+
     @F.pandas_udf("int")
     def range_of(doc_id: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, -doc_id.to_numpy(np.int64), side="right"), dtype="int32")
+        return pd.Series(names[np.searchsorted(bounds, -doc_id.to_numpy(np.int64), side="right")], dtype="int32")
 
-    part = F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(range_of(F.coalesce("doc_id", F.lit(0))))
-    firsts = sorted((r[0], r[1]) for r in ids.withColumn("part", part).groupBy("part").agg(F.max("doc_id").alias("first")).collect())  # a row for each part
+    part = F.when(F.col("doc_id").isNull(), F.lit(int(names[-1]))).otherwise(range_of(F.coalesce("doc_id", F.lit(0))))
+    place = {int(name): i for i, name in enumerate(names)}
+    found = ids.withColumn("part", part).groupBy("part").agg(F.max("doc_id").alias("first")).collect()  # a row for each part
+    firsts = sorted(((r[0], r[1]) for r in found), key=lambda r: place[r[0]])
     marked = docs.withColumn("part", part)
     if not firsts:
         return docs.limit(0).mapInArrow(lambda b: iter(()), _SCHEMA)
@@ -131,7 +149,7 @@ def fingerprints(docs: DataFrame, parts: int = 0) -> DataFrame:
     copies = marked.join(link, (F.col("part") == F.col("p")) & F.col("doc_id").eqNullSafe(F.col("first"))).select(F.col("earlier").alias("part"), F.lit(True).alias("ahead"), "doc_id", "text")
     copies = copies.groupBy("part", "ahead", "doc_id").agg(F.min("text").alias("text"))
     rows = marked.select("part", F.lit(False).alias("ahead"), "doc_id", "text").unionByName(copies)
-    dealt = rows.repartition(max(parts, len(firsts)), "part").sortWithinPartitions("part", "ahead", F.col("doc_id").desc_nulls_last(), "text")
+    dealt = rows.repartition(len(names), "part").sortWithinPartitions("part", "ahead", F.col("doc_id").desc_nulls_last(), "text")
     return dealt.mapInArrow(_followed, _SCHEMA)
 
 
@@ -139,4 +157,5 @@ _SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string,
 
 
 def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every row of documents; see fingerprints(). Nulls are empty texts, repeated rows each come back."""
     return fingerprints(table(spark, sf_dir, "documents"))
