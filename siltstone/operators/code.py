@@ -12,12 +12,16 @@ FUNCTIONS = "path string, qualified_name string, class_name string, start_line i
 
 
 def _found(node: ast.AST, owner: str | None):
-    """Functions directly in a body, then those in functions and classes of it, each with its innermost class."""
-    for child in ast.iter_child_nodes(node):
+    """Functions in a body, each with its innermost class: also those in bodies of statements there, never in else or handlers,
+    and directly in functions."""
+    for child in getattr(node, "body", None) or []:
         if isinstance(child, ast.ClassDef):
             yield from _found(child, child.name)
         elif isinstance(child, ast.FunctionDef | ast.AsyncFunctionDef):
             yield child, owner
+            inner = [x for x in child.body if isinstance(x, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef)]
+            yield from _found(ast.Module(inner, []), owner)
+        elif isinstance(child, ast.stmt):
             yield from _found(child, owner)
 
 

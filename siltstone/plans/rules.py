@@ -135,3 +135,30 @@ def S8_last_of_each(spark, d):
 @query("select o_orderkey, length(o_orderpriority) > 0 and o_orderstatus is not null as valid from orders")
 def F6_valid_results(spark, d):
     return table(spark, d, "orders").select("o_orderkey", (F.coalesce(F.length("o_orderpriority") > 0, F.lit(False)) & F.col("o_orderstatus").isNotNull()).alias("valid"))
+
+
+@query("""with q as (select vec_id as query_id, embedding as q0 from embeddings where vec_id % 50 = 0),
+a as (select query_id, vec_id as doc_id, round(list_sum(list_transform(list_zip(q0, embedding), lambda z: cast(z[1] as double) * z[2])), 6) as score, embedding from q, embeddings),
+r1 as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from a),
+w as (select *, exp((score - max(score) over (partition by query_id)) / 0.05) as w from r1 where rank <= 8),
+e as (select query_id, w, unnest(range(0, len(embedding))) as i, unnest(embedding) as x from w), c0 as (select query_id, i, sum(w * cast(x as double)) / sum(w) as c from e group by all),
+c as (select query_id, i, c / sqrt(sum(c * c) over (partition by query_id)) as c from c0), o as (select query_id, unnest(range(0, len(q0))) as i, unnest(q0) as q from q),
+n as (select query_id, i, 0.65 * cast(q as double) + 0.35 * c as x from o join c using (query_id, i)), m as (select query_id, i, x / sqrt(sum(x * x) over (partition by query_id)) as x from n),
+q1 as (select query_id, list(x order by i) as q1 from m group by query_id),
+b as (select query_id, vec_id as doc_id, round(list_sum(list_transform(list_zip(q1, embedding), lambda z: z[1] * cast(z[2] as double))), 6) as score from q1, embeddings),
+r2 as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from b),
+u as (select query_id, doc_id, rank from r1 where rank <= 20 union all select query_id, doc_id, rank from r2 where rank <= 20), s as (select query_id, doc_id, round(sum(1.0 / (60 + rank)), 6) as score from u group by all),
+f as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from s) select query_id, doc_id, score, rank, 2 as rounds from f where rank <= 10""")
+def P1_feedback_rounds(spark, d):
+    from siltstone.operators import feedback
+
+    v = table(spark, d, "embeddings")
+    return feedback.rounds(v, v.where("vec_id % 50 = 0"), k=10, expand=20, most=2, drift=-1)
+
+
+@query("""select * from (values ('pkg/base.py', 'Base::__init__', 5, 6, 1), ('pkg/base.py', 'Base::run', 8, 11, 1), ('pkg/base.py', 'Base::inner', 9, 10, 1), ('pkg/sub/child.py', 'Child::__init__', 5, 6, 1), ('pkg/sub/child.py', 'Part::size', 9, 10, 1),
+('pkg/sub/tools.py', 'helper', 4, 5, 1), ('tests/test_x.py', 'test_it', 2, 3, 1)) v(path, qualified_name, start_line, end_line, complexity)""")
+def C5_function_blocks(spark, d):
+    from siltstone.operators import code
+
+    return code.functions(spark.createDataFrame(SOURCES, "path string, text string").where("path like '%.py'")).select("path", "qualified_name", "start_line", "end_line", "complexity")
