@@ -89,13 +89,14 @@ def ranks(df: DataFrame, keys: list[str], size: str | None = None) -> DataFrame:
 def first_of_each(df: DataFrame, key: str, n: int, order: list) -> DataFrame:
     """At most n rows of each key, the first in the given order.
 
-    First within 64 salts of a key, then among at most 64 * n rows: a task may see a whole key that has
-    no more than these, and only a 64th of a larger one in the first step.
+    First within 64 salts of a key, then within 8, then among what is left: a task sees a 64th of a key, and at most
+    8 * n rows of it in the later steps.
     """
-    df = df.withColumn("_salt", F.pmod(F.xxhash64(F.lit(7), *order), F.lit(64)))
-    for by in ([key, "_salt"], [key]):
-        df = df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(f"_r <= {n}").drop("_r")
-    return df.drop("_salt")
+    salt = F.pmod(F.xxhash64(F.lit(7), *order), F.lit(64))
+    for salts in (64, 8, 1):
+        one = Window.partitionBy(key, F.pmod(salt, F.lit(salts))).orderBy(*order)
+        df = df.withColumn("_r", F.row_number().over(one)).where(f"_r <= {n}").drop("_r")
+    return df
 
 
 def _running(df: DataFrame, keys: list[str], size: str | None) -> DataFrame:
