@@ -279,7 +279,7 @@ def invented(kind: str, rng: random.Random) -> str:
 _DECOYS = ("version 4.0 of 2024-05-17 and", "page 12 of 340 at 10:45 on", "costs 1,299.00 or 55 % of 3000", "id 20240517103045 and key=9f8e7d6c5b4a", "build 10.2.14 rev 88123", "order 1234567890123 of 17", "pi is 3.14159 at most", "meet at the dot on", "look at this dot there", "section 1.2.3 has 4.5.6 in it", "meet at noon. The dot is", "see it at www.example.org today", "on 12.05.2024 at 10.30 in", "from 1999 to 2004 and 17 more", "sold at 3.50 each, dot com or not")
 
 
-def learn(texts: list[str], rounds: int = 8, rate: float = 0.4, most: int = 240, seed: int = 5) -> Field:
+def learn(texts: list[str], rounds: int = 14, rate: float = 0.4, most: int = 240, seed: int = 5) -> Field:
     """A field from texts: other ways to write a span, among words of the texts, are what to find; all else
     near signs is not. Spans are those of the fixed patterns in the texts, and invented ones."""
     examples: list[tuple[str, dict[str, int], list]] = []
