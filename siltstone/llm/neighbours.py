@@ -12,6 +12,8 @@ from ._base import column, table
 #: Vectors of a shard (mean), edges of a vertex, width of the beam, vertices expanded at once, entries.
 SHARD, DEGREE, BEAM, AT_ONCE, ENTRIES = 4096, 24, 64, 4, 32
 BLOCK = 512
+#: Groups of shards that the queries are sent to.
+LANES = 64
 
 
 def search(x: np.ndarray, edges: np.ndarray, entry: np.ndarray, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,11 +140,11 @@ def _searched(k: int, beam: int):
     def run(batches):
         for batch in batches:
             for at in range(batch.num_rows):
-                g = {c: batch.column(c)[at].as_py() for c in batch.schema.names}
+                g = {c: batch.column(c)[at].as_py() for c in ("n", "entry", "v", "edges", "ids")}
+                asked = batch.column("queries")[at].values
                 v = np.frombuffer(g["v"]).reshape(g["n"], -1)
                 edges = np.frombuffer(g["edges"], np.int32).reshape(g["n"], -1).astype(np.int64)
-                q_ids = np.array([q["vec_id"] for q in g["queries"]], np.int64)
-                q = np.array([q["v"] for q in g["queries"]], np.float64)
+                q_ids, q = asked.field("vec_id").to_numpy(zero_copy_only=False), _matrix(asked.field("v"))
                 units = _unit(v)
                 found, _ = search(units.astype(np.float32), edges, np.array(g["entry"]), _unit(q).astype(np.float32), min(beam, max(1, g["n"])))
                 exact = np.einsum("mkd,md->mk", v[found], q) / np.sqrt((v * v).sum(axis=1))[found] / np.sqrt((q * q).sum(axis=1))[:, None]
@@ -163,7 +165,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, shard: int = SHA
     ids (a larger id of equals can't be among the k nearest), so thousands of copies make no more edges
     than one. Vertices fall by hash into shards of about `shard`; each shard gets a graph, built in two
     passes of greedy searches and robust pruning, and every block of queries runs through every shard's
-    graph. score is the cosine in double precision; ties go to the smaller id; a query's own id is left out.
+    graph; blocks are sent once to each of at most LANES groups of shards, by shuffle, never through the driver. score is the cosine in double precision; ties go to the smaller id; a query's own id is left out.
 
     Vectors that are null, empty, zero or have null or non-finite components take no part, nor do rows
     without id. Vectors meet only those of as many components. Repeated rows count once; if a query id
@@ -183,11 +185,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, shard: int = SHA
     shards = F.coalesce(number[F.col("dim")], F.lit(1))
     kinds = "dim int, shard long, n int, entry array<long>, v binary, edges binary, ids array<array<long>>"
     graphs = vertices.withColumn("shard", F.pmod("h", shards)).select("dim", "shard", "v", "ids").groupBy("dim", "shard").applyInArrow(_graphs, kinds)
+    lanes = F.least(shards, F.lit(LANES)).cast("long")
     asked = usable(queries).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
     blocks = max(1, -(-sum(r[1] for r in asked.groupBy("dim").count().collect()) // BLOCK))
     asked = asked.groupBy("dim", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("vec_id", "v")).alias("queries"))
-    sent = asked.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), shards.cast("long") - 1)))
-    found = graphs.join(sent, ["dim", "shard"]).select("n", "entry", "v", "edges", "ids", "queries").mapInArrow(_searched(k, beam), "query_id long, vec_id long, score double")
+    # the plan knows the size of the queries before they are repeated, so without the hint the driver would gather and broadcast all repeats
+    sent = asked.withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), lanes - 1)))
+    found = graphs.withColumn("lane", F.pmod("shard", lanes)).join(sent.hint("merge"), ["dim", "lane"]).select("n", "entry", "v", "edges", "ids", "queries").mapInArrow(_searched(k, beam), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(f"rank <= {k}").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

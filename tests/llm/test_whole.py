@@ -187,6 +187,23 @@ def test_neighbours_over_shards(spark):
     assert hit >= 0.9 * 5 * 30
 
 
+def test_queries_never_go_through_the_driver(spark):
+    rng = np.random.default_rng(15)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(4000, 8)))], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, df.where("vec_id % 50 = 0"), shard=40)  # about 100 shards, more than lanes
+    rows = got.collect()
+    assert len({(r.query_id, r["rank"]) for r in rows}) == len(rows) == 400
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    x = np.array([r.embedding for r in df.orderBy("vec_id").collect()])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    hit = 0
+    for q in range(0, 4000, 50):
+        best = [i for i in np.argsort(-(x @ x[q])) if i != q][:5]
+        hit += len(set(best) & {r.vec_id for r in rows if r.query_id == q})
+    assert hit >= 0.9 * 400
+
+
 # 4: lines
 
 
