@@ -467,6 +467,41 @@ def test_draws_are_whole_and_independent_of_the_task():
 # 6: passages
 
 
+def test_windows_are_made_once(spark, monkeypatch):
+    met, windows = spark.sparkContext.accumulator(0), passages._windows
+
+    def counted(*args):
+        run = windows(*args)
+
+        def seen(batches):
+            for batch in batches:
+                met.add(batch.num_rows)
+                yield batch
+
+        return lambda batches: run(seen(batches))
+
+    monkeypatch.setattr(passages, "_windows", counted)
+    common = " ".join(f"c{i}" for i in range(60))
+    df = spark.createDataFrame([(i, f"{common} " + " ".join(f"w{i}x{k}" for k in range(30))) for i in range(20)], "doc_id long, text string")
+    assert {i for r in passages.repeated_passages(df).collect() for i in (r.doc_id, r.with_id)} == set(range(20))
+    assert met.value == 20
+
+
+def test_boxes_of_texts_that_repeat_themselves():
+    rng = np.random.default_rng(16)
+    a, b = (np.tile(rng.integers(0, 30, n).astype(np.uint64), 40) for n in (9, 13))
+    known = passages._Boxes(a, b)
+    s, p = rng.integers(0, 300, (2, 500))
+    boxes = np.stack([s, s + rng.integers(40, 60, 500), p, p + rng.integers(40, 60, 500)], axis=1)
+    keys, like = known.keys(boxes), known.alike(boxes, 20)
+    seen = {}
+    for (i, j, k, m), key, yes in zip(boxes.tolist(), keys.tolist(), like.tolist(), strict=True):
+        one, two = set(b[i:j].tolist()), set(a[k:m].tolist())
+        assert yes == (100 * len(one & two) >= 20 * len(one | two))
+        assert seen.setdefault(key, (b[i:j].tobytes(), a[k:m].tobytes())) == (b[i:j].tobytes(), a[k:m].tobytes())
+    assert len(seen) == len({(b[i:j].tobytes(), a[k:m].tobytes()) for i, j, k, m in boxes.tolist()})
+
+
 def jaccard(a, b):
     return len(a & b) / len(a | b)
 
