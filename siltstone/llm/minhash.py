@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import column, cut, mix, raw, seeds, sets, shingles, small_batches, steps, table, words
+from ._base import column, cut, mix, raw, release, seeds, sets, shingles, small_batches, steps, table, words
 from ._graph import components
 
 _U = np.uint64
@@ -114,6 +114,12 @@ def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.select("u", "v", "text_u", "text_v")
 
 
+def texts_of(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows of docs that pairs (u, v) name."""
+    named = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
+    return docs.join(named, "doc_id", "left_semi")
+
+
 def edited_alike(group: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """(u, v): pairs that may be similar, of the members u of each pivot's group in different components.
 
@@ -175,25 +181,35 @@ def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = BANDS, rows
     bucket = classes.select("rep", "n", F.explode("keys").alias("key"))
     several = bucket.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     active = cut(bucket.join(several, "key").select("key", "rep", "n", "members"))
+    release(docs)
     # a text that its copies were made from meets more of them than they meet each other: it is a good pivot
     met = active.groupBy("rep").agg(F.sum("members").alias("met"))
     best = F.max(F.struct("met", (-F.col("rep")).alias("r"), F.col("n").alias("pn"))).alias("p")
     central = active.join(met, "rep").groupBy("key").agg(best, F.count("*").alias("members")).select("key", (-F.col("p.r")).alias("p"), "p.pn", "members")
     met_by = cut(active.select("key", "rep", "n").join(central, "key").where("rep != p"))
-    texts = docs.join(active.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    del active, met, central
+    release(docs)
     alike = f"100 * least(n, pn) >= {percent} * greatest(n, pn)"  # no pair beyond is similar enough
-    pairs = met_by.where(alike).select(F.col("rep").alias("u"), F.col("p").alias("v")).distinct()
-    links = cut(same_id_links(named).union(_with_texts(pairs, texts).mapInArrow(_verified(percent), "u long, v long")).distinct())
+    pairs = cut(met_by.where(alike).select(F.col("rep").alias("u"), F.col("p").alias("v")).distinct())
+    links = cut(same_id_links(named).union(_with_texts(pairs, texts_of(pairs, docs)).mapInArrow(_verified(percent), "u long, v long")).distinct())
+    release(docs)
     comp = components(links)
     own = comp.select(F.col("v").alias("rep"), "comp")
     state = met_by.where("members > 2").join(own, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     state = state.join(own.select(F.col("rep").alias("p"), F.col("comp").alias("pc")), "p", "left").withColumn("pc", F.coalesce("pc", "p"))
     mixed = state.groupBy("key").agg(F.max(F.expr("comp != pc")).alias("out"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("out and lo < hi").select("key")
     group = cut(state.join(mixed, "key", "left_semi").select(F.col("rep").alias("u"), "n", "comp", F.col("p").alias("v"), "pn", "pc").distinct())
+    release(docs)
     if not group.isEmpty():
+        texts = cut(texts_of(group, docs))  # few are left by now
+        release(docs)
         more = cut(edited_alike(group, texts, percent))
-        links = links.union(_with_texts(more, texts).mapInArrow(_verified(percent), "u long, v long"))
+        release(docs)
+        links = cut(links.union(_with_texts(more, texts).mapInArrow(_verified(percent), "u long, v long")))
+        del texts
+        release(docs)
         comp = components(links)
+    release(docs)
     reps = named.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
     out = base.drop("keys").join(reps, ["n", "d1", "d2"], "left").withColumn("rep", F.when(F.expr("n > 0 and doc_id is not null"), F.col("rep")).otherwise(F.col("doc_id")))
     out = out.join(comp, F.col("rep") == F.col("v"), "left").withColumn("component_id", F.coalesce("comp", "rep"))

@@ -554,7 +554,7 @@ def test_all_pairs_of_few_open_members(spark):
 # disk
 
 
-@pytest.mark.parametrize("module", ["passages"])
+@pytest.mark.parametrize("module", ["passages", "minhash"])
 def test_files_of_past_steps_go(spark, monkeypatch, module):
     module = {"passages": passages, "minhash": minhash}[module]
     cut, seen = module.cut, []
