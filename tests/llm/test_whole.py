@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -502,6 +503,52 @@ def test_boxes_of_texts_that_repeat_themselves():
     assert len(seen) == len({(b[i:j].tobytes(), a[k:m].tobytes()) for i, j, k, m in boxes.tolist()})
 
 
+def test_places_are_those_of_the_compact_windows():
+    rng = np.random.default_rng(21)
+    for k in range(60):
+        counts = rng.integers(0, 200, int(rng.integers(0, 12)))
+        h = rng.integers(0, (3, 40, 1 << 60)[k % 3], int(counts.sum())).astype(np.uint64)
+        for least in (1, 5, 46):
+            want = np.sort(passages.compact(h, counts, np.uint64(7), least)[0])
+            assert np.array_equal(passages.places(h, counts, np.uint64(7), least, passages._ties(len(h))), want)
+
+
+def test_windows_in_blocks_meet_as_single_rows_do():
+    rng = np.random.default_rng(22)
+    rows = np.stack([rng.integers(-300, 300, 2000), rng.integers(-9, 9, 2000), rng.integers(0, 4, 2000)])
+    batches = [pa.RecordBatch.from_arrays(list(map(pa.array, rows[:, k : k + 150])), ["key", "d1", "at"]) for k in range(0, 2000, 150)]
+    groups = {}
+    for b in passages._dealt(7)(iter(batches)):
+        for g, block in zip(b.column("group").to_pylist(), b.column("rows"), strict=True):
+            groups.setdefault(g, []).append(pa.RecordBatch.from_arrays([pa.array([block.as_py()], pa.binary())], ["rows"]))
+    got = [r for g in groups.values() for b in passages._met(iter(g)) for r in zip(*b.to_pydict().values(), strict=True)]
+    texts = {}
+    for key, d1, _ in rows.T.tolist():
+        texts.setdefault(key, set()).add(d1)
+    assert len(groups) > 1 and sorted(got) == sorted({tuple(r) for r in rows.T.tolist() if len(texts[r[0]]) > 1})
+    assert not list(passages._met(iter([])))
+
+
+def test_texts_that_repeat_themselves_are_compared_on_few_periods():
+    rng = np.random.default_rng(23)
+    some = lambda n: rng.integers(0, 1 << 60, n).astype(np.uint64)
+    for period in (1, 7, 60, 150):
+        unit = some(period)
+        a, b = (np.concatenate([some(30), np.tile(unit, 3000 // period), some(20), np.tile(unit[: period // 2 + 1], 1), some(9)]) for _ in range(2))
+        short = passages._Text(a, 46)
+        assert len(short.h) < 60 + 3 * period + max(46, period)
+        found = passages.matched(a, b, 46, 75)
+        assert any(e - s >= 3000 - 3000 % period and q - p >= 3000 - 3000 % period for s, e, p, q in found)
+        for s, e, p, q in found:
+            assert 0 <= s and e <= len(b) and 0 <= p and q <= len(a) and min(e - s, q - p) >= 46 and jaccard(set(b[s:e].tolist()), set(a[p:q].tolist())) >= 0.75
+        assert not passages.matched(a, np.concatenate([some(30), np.tile(some(period), 3000 // period)]), 46, 75)
+    # a stretch of less than a period that crosses the place of what is left out is moved, not stretched
+    unit = some(150)
+    b, text = some(40), np.tile(unit, 20)
+    (s, e, p, q), *_ = passages.matched(text, np.concatenate([b, unit[40:120], some(40)]), 46, 75)
+    assert jaccard(set(np.concatenate([b, unit[40:120]])[s:e].tolist()), set(text[p:q].tolist())) >= 0.75
+
+
 def jaccard(a, b):
     return len(a & b) / len(a | b)
 
